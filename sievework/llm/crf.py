@@ -35,7 +35,7 @@ class ChainCRF:
             pairs += p[mask[:, s + 1]].sum(0)
         return np.exp(a + b - z[:, None, None]) * mask[..., None], pairs
 
-    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 120, rate: float = 0.3, l2: float = 1e-3) -> "ChainCRF":
+    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 60, rate: float = 0.4, l2: float = 1e-3) -> "ChainCRF":
         """Maximum likelihood by Adam; x is (n, t, features), y (n, t) labels, mask (n, t)."""
         gold = np.eye(self.t.shape[0])[y] * mask[..., None]
         both = (gold[:, :-1, :, None] * gold[:, 1:, None, :]).sum((0, 1))

@@ -211,7 +211,7 @@ def draw_sample(rows: DataFrame, targets: DataFrame, fraction: float = FRACTION,
     done.append(level.where(closed))
     level = cut(level.where(~closed).groupBy("c_dimension").applyInPandas(merged, schema))
     done.append(level.where(closed))
-    last = level.where(~closed).groupBy(F.lit(1)).applyInPandas(landed, schema)
+    last = level.where(~closed).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(landed, schema)
     drawn = done[0].union(done[1]).union(cut(last)).where("p > 0.5").select("sample_id")
     return units.join(drawn, "sample_id").select("sample_id", "split_row_id", *FIELDS)
 

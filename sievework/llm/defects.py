@@ -33,11 +33,12 @@ STEPS = 48  # clauses of one decoding window; longer answers are decoded in wind
 
 _TAGS = re.compile(r"</?think>", re.I)
 _EMPTY_BOX = re.compile(r"\\+boxed\s*\{\s*\}")
+_OPEN_BOX = re.compile(r"\\+(?:b|bo|box|boxe|boxed)?\s*\{?\s*$")
 _BOX = re.compile(r"\\+boxed\s*\{[^{}\n]*?[A-Za-zＡ-Ｚ0-9一-鿿Ͱ-ӿᎠ-Ᏼ][^{}\n]*\}?")
 _CLAUSE = re.compile(r"[^。！？!?；;\n.]*(?:\.(?!\s|$)[^。！？!?；;\n.]*)*(?:[。！？!?；;]+[”’」』\"']*|\.+[”\"']*(?=\s|$)|\n|$)")
 _ENDED = re.compile(r"[。！？!?.…}>][”’」』\"')）\s]*$")
 _WORD_CHARS = re.compile(r"[^\W_]")
-_QUOTED = re.compile(r"“[^”]*”|「[^」]*」|\"[^\"\n]*\"")
+_QUOTED = re.compile(r"“[^”]*(?:”|$)|「[^」]*(?:」|$)|\"[^\"\n]*(?:\"|$)")
 _LETTERS = r"[A-ZＡ-ＺΑ-ΩА-ЯᎠ-Ᏼ]"
 _ANSWERS = re.compile(
     rf"(?:答案|选项|应选|因此选|选择|故选|所以选|应该选|选)(?:应该|应当|应)?(?:是|为|：|:|\s)*{_LETTERS}(?![a-z])"
@@ -47,7 +48,7 @@ _BARE = re.compile(rf"^\W*{_LETTERS}(?:\W*(?:和|与|及|and)?\W*{_LETTERS})*\W*
 _FINAL_WORD = re.compile(r"^\W*(?:是|否|无法确定|信息不足|证据不足|无法判断|yes|no|cannot be determined)\W*$", re.I)
 # Wordings by which an answer is declined.
 _DECLINES = re.compile(
-    r"(?:无法|不能|不便|没有办法|没办法|难以|恕我不|恕不|不会|拒绝)(?:再)?(?:为您|为你|对|协助|帮助|回答|提供|完成|给出|作出|做出|发表|讨论|处理|判断|评论|参与)"
+    r"(?:无法|不能|不便|没有办法|没办法|难以|恕我不|恕不|我拒绝|我不会)(?:再)?(?:为您|为你|对|协助|帮助|回答|提供|完成|给出|作出|做出|发表|讨论|处理|判断|评论|参与)"
     r"|超出了?我|(?:作为|身为)一?[个名]?(?:人工智能|语言模型|AI|助手)|(?:抱歉|对不起|不好意思|遗憾)[，,。 ]|请(?:换|咨询|谅解|理解)|希望您?能?理解|欢迎继续提问|其他需要"
     r"|\b(?:I(?:'m| am) (?:sorry|unable|not able)|I (?:can(?:'|’)?t|cannot|can not|won(?:'|’)?t|will not|must decline|have to decline|am unable|do not feel)|as an? (?:AI|language model)|(?:beyond|outside) what I|unable to (?:help|answer|assist)|not able to (?:help|answer)|sorry, but|please (?:ask|consult|try) (?:another|a|something)|decline to)",
     re.I,
@@ -68,16 +69,30 @@ _HAN, _KANA, _HANGUL, _CYRILLIC = (
     re.compile(f"[{chr(a)}-{chr(b)}]") for a, b in ((0x4E00, 0x9FFF), (0x3041, 0x30FF), (0xAC00, 0xD7A3), (0x400, 0x4FF))
 )
 _PLAIN = re.compile(r"[\W_]+")
+_LABEL = re.compile(r"(?:问题|题目|Question|故事|Story|选项|Options)[：:]?\s*")
+_FOREIGN_SCRIPT = re.compile(f"[{chr(0x3041)}-{chr(0x30FF)}{chr(0xAC00)}-{chr(0xD7A3)}{chr(0x400)}-{chr(0x4FF)}]")
 
 
 def _language(text: str) -> str:
     """'zh' or 'en' for the question; other scripts by their name."""
+    if text and len(_HAN.findall(text)) > 0.4 * len(text) and not _FOREIGN_SCRIPT.search(text):
+        return "zh"
     kana, hangul, cyrillic, han = (len(p.findall(text)) for p in (_KANA, _HANGUL, _CYRILLIC, _HAN))
     latin = sum(map(len, _LATIN_WORD.findall(text))) / 3
     best = max((kana * 2, "ja"), (hangul, "ko"), (cyrillic / 2, "ru"), (han, "zh"), (latin, "en"))
     return best[1] if best[0] else ""
 
 
+def _strange(answer: str, language: str, names: set[str]) -> bool:
+    """Whether any clause can be foreign: a quick look at the whole answer."""
+    if language not in ("zh", "en") or _FOREIGN_SCRIPT.search(answer) or (language == "en" and _HAN.search(answer)):
+        return True
+    words = [w for w in _LATIN_WORD.findall(answer) if len(w) > 1 and w not in names]
+    if language == "zh":
+        return sum(w.lower() not in ("boxed", "think", "text") for w in words) > 1
+    return sum(w.lower() in _OTHERS or not w.isascii() for w in words) > 1
+
+
 def _foreign(clause: str, language: str, names: set[str]) -> float:
     """Share of a clause's letters, names aside, that are not of the question's language."""
     if not language:
@@ -108,7 +123,7 @@ def _foreign(clause: str, language: str, names: set[str]) -> float:
 def clauses(answer: str) -> list[str]:
     """An answer's clauses with at least one letter, digit or box; think tags are dropped."""
     out = []
-    for c in _CLAUSE.findall(_TAGS.sub("\n", answer)):
+    for c in _CLAUSE.findall(_OPEN_BOX.sub("", _EMPTY_BOX.sub("", _TAGS.sub("\n", answer)).rstrip())):
         if _WORD_CHARS.search(c):
             out.append(c.strip())
     return out
@@ -127,7 +142,8 @@ def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
     size = np.zeros(len(parts))
     final = False
     last = len(parts) - 1
-    open_box = answer.rstrip().endswith("{") or re.search(r"\\+boxed\s*\{?\s*$", answer) is not None
+    open_box = _OPEN_BOX.search(answer.rstrip()) is not None
+    strange = _strange(answer, language, names)
     for i, c in enumerate(parts):
         plain = _PLAIN.sub("", c)
         size[i] = len(plain)
@@ -138,10 +154,9 @@ def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
             echo = sum(p in plain_user for p in pieces) / len(pieces)
         else:
             echo = float(len(plain) > 3 and plain in plain_user)
-        label = re.sub(r"^(?:问题|题目|Question|故事|Story|选项|Options)[：:]?\s*", "", c)
-        if label != c and len(label) > 3 and _PLAIN.sub("", label) in plain_user:
+        if echo < 1 and (label := _LABEL.match(c)) and len(c) > label.end() + 3 and _PLAIN.sub("", c[label.end() :]) in plain_user:
             echo = 1.0
-        foreign = _foreign(c, language, names)
+        foreign = _foreign(c, language, names) if strange else 0.0
         declines = bool(_DECLINES.search(bare))
         final = final or answers
         ended = bool(_ENDED.search(c))
@@ -178,6 +193,8 @@ def train(pairs: list[tuple[str, str | None]]) -> ChainCRF:
     """The field for labelled clauses of (answer, question) pairs."""
     rows = [c for a, q in pairs if len(c := cues(a or "", q)[0])]
     rows = [r[-STEPS:] for r in rows]
+    rich = [r for r in rows if seed_labels(r).any()]  # sequences of answers only are many and alike
+    rows = rich + [r for r in rows if not seed_labels(r).any()][: max(200, len(rich))]
     model = ChainCRF(16, len(LABELS))
     if not rows:
         return model

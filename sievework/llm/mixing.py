@@ -2,7 +2,8 @@
 
 Poisson replication: every distinct text of a source is repeated by a draw from a Poisson distribution whose
 mean is the source's repetition rate, inverted from a hash-seeded uniform number and truncated at
-``max_repeats``; the mean of the truncated distribution is fitted to the rate.  The uniform numbers are hash-seeded
+``max_repeats``; the mean of the truncated distribution is fitted to the rate, then moved by up to a
+third to where the source's actual draws come closest to its share (one aggregate over all texts).  The uniform numbers are hash-seeded
 and spread over the source's texts in order of size (a golden-ratio sequence), so that long and short texts
 are repeated alike and the shares come out close.  Texts are exploded by their counts and put in one global order
 by hash.
@@ -30,6 +31,7 @@ from sievework.session import cut, ranked
 
 SEED = 29
 _STEP = (5**0.5 - 1) / 2
+_FACTORS = [round(1.012**i, 6) for i in range(-30, 31)]
 
 
 def _name(column: str):
@@ -85,12 +87,21 @@ def _mix(documents: DataFrame, targets: DataFrame, total: int | None, vocabulary
     plan = []
     for s, (p, cap) in sorted(goals.items()):
         rate = min(total * p / whole / have[s], cap) if have.get(s) else 0.0
-        plan.append((s, float(rate), thresholds(rate, cap)))
-    plan = spark.createDataFrame(plan, "source string, rate double, cdf array<double>")  # one row per target
+        plan.append((s, float(total * p / whole), [thresholds(min(rate * f, cap), cap) for f in _FACTORS]))
+    plan = spark.createDataFrame(plan, "source string, wanted double, cdfs array<array<double>>")  # one row per target
     offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 20)) / float(1 << 20)
-    u = (F.col("rank") * F.lit(_STEP) + offset) % 1
-    times = F.size(F.filter("cdf", lambda c: c <= u))
-    drawn = texts.join(F.broadcast(plan), "source").withColumn("times", times).where("times > 0")
+    texts = texts.withColumn("u", (F.col("rank") * F.lit(_STEP) + offset) % 1).join(F.broadcast(plan), "source")
+
+    def times(cdf):
+        return F.size(F.filter(cdf, lambda c: c <= F.col("u")))
+
+    # of the means near the rate, the one whose draws come closest to the wanted tokens
+    reached = texts.groupBy("source").agg(
+        F.first("wanted").alias("wanted"), *(F.sum(F.col("tokens") * times(F.col("cdfs")[i])).alias(f"t{i}") for i in range(len(_FACTORS)))
+    )
+    off = F.array(*(F.struct(F.abs(F.col(f"t{i}") - F.col("wanted")).alias("off"), F.lit(abs(f - 1)).alias("far"), F.lit(i).alias("i")) for i, f in enumerate(_FACTORS)))
+    best = reached.select("source", F.array_min(off)["i"].alias("best"))
+    drawn = texts.join(F.broadcast(best), "source").withColumn("times", times(F.get("cdfs", F.col("best")))).where("times > 0").drop("cdfs")
     return drawn.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("times")))), _sources(targets)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import nearjoin, overlap
+from sievework.llm import cube, defects, groupsplit, mixing, nearjoin, overlap, packing, spans, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,26 @@ def _on(operator: Callable[..., DataFrame], *tables: str, **options) -> Query:
 QUERIES: dict[str, Query] = {
     "p1_found": _on(overlap.found, "train_records"),
     "p1_overlap_report": _on(overlap.report, "train_records"),
+    "p2_found": _on(defects.found, "train_records"),
+    "p2_defect_report": _on(defects.report, "train_records"),
+    "p3_found": _on(groupsplit.found, "split_rows"),
+    "p3_forest": _on(groupsplit.forest_edges, "split_rows"),
+    "p3_splits": _on(groupsplit.split, "split_rows", "split_targets"),
+    "p3_split_report": _on(groupsplit.split_report, "split_rows", "split_targets"),
     "p4_found": _on(nearjoin.found, "train_records"),
     "p4_groups": _on(nearjoin.groups, "train_records"),
+    "p5_found": _on(cube.found, "split_rows", "sample_targets"),
+    "p5_sample": _on(cube.draw_sample, "split_rows", "sample_targets"),
+    "p5_target_report": _on(cube.report, "split_rows", "sample_targets"),
+    "p6_found": _on(visual.found, "train_records", "predictions"),
+    "p6_message_forms": _on(visual.train_forms, "train_records"),
+    "p6_letter_forms": _on(visual.letter_forms, "predictions"),
+    "p7_containers": _on(packing.packed, "documents", "pack_limits"),
+    "p7_packing_report": _on(packing.report, "documents", "pack_limits"),
+    "p8_mix": _on(mixing.mixed, "documents", "mix_targets"),
+    "p8_share_report": _on(mixing.report, "documents", "mix_targets"),
+    "p9_found": _on(spans.found, "documents"),
+    "p9_shared_report": _on(spans.report, "documents"),
 }
 
 ORACLE: dict[str, str] = {}
