@@ -30,6 +30,8 @@ from sievework.llm.textsets import band_keys, mix64, normalise, piece_hashes
 from sievework.session import written
 
 LEAF = 96
+#: Pieces of up to this many texts of a leaf are counted pair by pair, others by matrices of WIDTH columns.
+RARE, WIDTH = 8, 4096
 #: Regions above this many texts are spread over block pairs, so that no task gets more.
 BLOCK = 1024
 DICTIONARY_TEXTS, DICTIONARY_CHARS, DICTIONARY_BYTES = 1500, 4000, 110_000
@@ -152,6 +154,11 @@ def spread(members: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join inside regions
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
 def _leaf_pairs(tokens: np.ndarray, owner: np.ndarray, leaf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of members of the same leaf with their number of common pieces.
 
@@ -168,20 +175,32 @@ def _leaf_pairs(tokens: np.ndarray, owner: np.ndarray, leaf: np.ndarray, sizes:
     first = np.r_[0, np.cumsum(sizes)]  # the leaf's first slot
     base = np.r_[0, np.cumsum(sizes * sizes)]
     counts = np.zeros(base[-1], np.int32)
-    at, lag = np.arange(len(piece)), 1
-    while True:
+    run = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[run, len(piece)])
+    often = np.repeat(times > RARE, times)
+    at = np.flatnonzero(np.repeat((times > 1) & (times <= RARE), times))
+    for lag in range(1, RARE):  # rare pieces: every pair of their texts
         at = at[at + lag < len(piece)]
         at = at[piece[at] == piece[at + lag]]
-        if not len(at):
-            break
         x, y = slot[at], slot[at + lag]
         g = leaf[x]
-        code = base[g] + (x - first[g]) * sizes[g] + (y - first[g])
-        if len(code) * 4 > len(counts):
-            counts += np.bincount(code, minlength=len(counts)).astype(np.int32)
-        else:
-            np.add.at(counts, code, 1)
-        lag += 1
+        counts += np.bincount(base[g] + (x - first[g]) * sizes[g] + (y - first[g]), minlength=len(counts)).astype(np.int32)
+    # common pieces: 0/1 matrices of texts by pieces, leaf by leaf
+    column, rows_ = np.cumsum(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else piece, slot
+    column, rows_ = column[often], rows_[often]
+    order = np.argsort(leaf[rows_], kind="stable")
+    column, rows_ = column[order], rows_[order]
+    bounds = np.searchsorted(leaf[rows_], np.arange(len(sizes) + 1))
+    for g in np.flatnonzero(np.diff(bounds)):
+        lo, hi = bounds[g], bounds[g + 1]
+        new = np.cumsum(np.r_[0, column[lo + 1 : hi] != column[lo : hi - 1]])
+        table = np.zeros((sizes[g], sizes[g]), np.float32)
+        for c in range(0, new[-1] + 1, WIDTH):
+            p, q = np.searchsorted(new, (c, c + WIDTH))
+            m = np.zeros((sizes[g], min(WIDTH, new[-1] + 1 - c)), np.float32)
+            m[rows_[lo + p : lo + q] - first[g], new[p:q] - c] = 1
+            table += m @ m.T
+        counts[base[g] : base[g + 1]] += np.triu(table, 1).astype(np.int32).ravel()
     hit = np.flatnonzero(counts)
     g = np.searchsorted(base, hit, side="right") - 1
     local = hit - base[g]
@@ -257,8 +276,7 @@ def joined(members: DataFrame, packed: DataFrame, dictionary: bytes, threshold:
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             h, starts = piece_hashes([unpack(r[6]).decode("utf-8", "surrogatepass") for r in rows])
-            sets = [h[a:b] for a, b in zip(starts[:-1], starts[1:])]
-            sets = [np.unique(s) for s in sets]
+            sets = [_distinct(h[a:b]) for a, b in zip(starts[:-1], starts[1:])]
             cuts = [0] + [i for i in range(1, len(rows)) if rows[i][:3] != rows[i - 1][:3]] + [len(rows)]
             x, y, j = similar_pairs(sets, [np.arange(a, b) for a, b in zip(cuts, cuts[1:])], threshold)
             k = np.array([r[4] for r in rows], np.int64)
