@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.functions.values import MISSING
 from sievework.llm import cube, defects, groupsplit, mixing, nearjoin, overlap, packing, spans, visual
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,4 +42,46 @@ QUERIES: dict[str, Query] = {
     "p9_shared_report": _on(spans.report, "documents"),
 }
 
-ORACLE: dict[str, str] = {}
+_MISSING = ", ".join(f"'{m}'" for m in MISSING)
+_BLANK = r"[\s\p{Z}\x{200B}\x{FEFF}]"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+def _plain(x: str) -> str:
+    return _strip(f"translate({x}, '{_WIDE}', '{_NARROW}')")
+
+
+def _category(x: str) -> str:
+    return f"CASE WHEN lower({_plain(x)}) NOT IN ({_MISSING}) THEN upper({_plain(x)}) END"
+
+
+def _letter_set(x: str) -> str:
+    letters = f"list_transform({x}, lambda v: upper({_plain('v')}))"
+    return f"nullif(array_to_string(list_sort(list_distinct(list_filter({letters}, lambda v: regexp_full_match(v, '[A-Z]')))), ','), '')"
+
+
+def _relation(column: str) -> str:
+    v = f"lower({_strip(column)})"
+    known = f"{v} NOT IN ({_MISSING}) AND NOT regexp_full_match({v}, '([a-z]+[_/:-])?0+')"
+    return f"SELECT split_row_id AS id, '{column}' AS f, {v} AS v FROM split_rows WHERE {known}"
+
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"""WITH RECURSIVE r AS ({' UNION ALL '.join(map(_relation, groupsplit.RELATIONS))}),
+s AS (SELECT f, v, min(id) AS lo FROM r GROUP BY f, v HAVING count(DISTINCT id) > 1),
+star AS (SELECT DISTINCT id, lo FROM r JOIN s USING (f, v) WHERE id <> lo),
+e AS (SELECT id AS a, lo AS b FROM star UNION SELECT lo, id FROM star),
+reach AS (SELECT DISTINCT a AS start, a AS node FROM e UNION SELECT start, b FROM reach JOIN e ON node = a)
+SELECT start AS split_row_id, min(node) AS group_row_id FROM reach GROUP BY start""",
+    "p5_found": f"""WITH p AS (SELECT nullif({_strip('sample_id')}, '') AS sample_id, {_category('question_type')} AS question_type, {_category('dimension')} AS dimension,
+{_letter_set('gold_letters')} AS gold_letters FROM split_rows), k AS (SELECT * FROM p WHERE sample_id IS NOT NULL),
+v AS (SELECT sample_id, 'question_type' AS f, question_type AS x FROM k UNION ALL SELECT sample_id, 'dimension', dimension FROM k UNION ALL SELECT sample_id, 'gold_letters', gold_letters FROM k),
+c AS (SELECT f, x, count(DISTINCT sample_id) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT count(DISTINCT sample_id) // 10 AS size FROM k),
+t AS (SELECT target_id, field_name AS f, CASE WHEN field_name = 'gold_letters' THEN {_letter_set("string_split(field_value, ',')")} ELSE {_category('field_value')} END AS x, target_permille, min_rows FROM sample_targets)
+SELECT target_id FROM t LEFT JOIN c USING (f, x), z WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 1000 < target_permille * size""",
+}
