@@ -133,7 +133,7 @@ def shared_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         .where("d1 <> d2")
         .select("node", "occurs")
     )
-    repeated = nodes.join(counts, "node")
+    repeated = written(nodes.join(counts, "node"), "repeated")  # few rows, read twice
     in_doc = Window.partitionBy("doc_id").orderBy("at")
     edges = (
         repeated.withColumn("next", F.lead("node").over(in_doc))
