@@ -233,7 +233,10 @@ def judged(records: DataFrame, training: int = TRAINING) -> DataFrame:
         F.try_element_at(after, F.lit(1))["content"].alias("answer"),
         F.try_element_at(F.filter("messages", lambda m: m["role"] == "user"), F.lit(-1))["content"].alias("question"),
     )
-    sample = pairs.where("answer IS NOT NULL").orderBy(F.xxhash64("source_line"), "source_line").limit(training)
+    # a hash threshold from the row count (read from file footers) keeps what reaches the driver near ``training`` rows
+    share = min(1.0, 4 * training / max(records.count(), 1))
+    drawn = F.pmod(F.xxhash64(F.lit(7), "source_line"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    sample = pairs.where(drawn).where("answer IS NOT NULL").orderBy(F.xxhash64("source_line"), "source_line").limit(training)
     model = train([(r["answer"], r["question"]) for r in sample.collect()])  # at most ``training`` records
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
