@@ -6,10 +6,11 @@ with a third of all rows gives one edge per row and no group is gathered).  A Bo
 contraction of these edges (``forest.spanning_forest``) gives the groups.
 
 Groups are then dealt to the splits: those of more than a thousandth of all rows, at most
-1,000 of them, go largest first to the split that lacks most; the others are put in order by
+1,000 of them, go largest first to the split that lacks most; other groups of several rows are put in order by
 size band, main dimension and a hash, and dealt systematically (a golden-ratio sequence over
 the rank) in the proportions still open, so every stretch of the order, and with it
-every size band and dimension, is spread evenly.
+every size band and dimension, is spread evenly; the band of single rows is dealt last, per dimension, in
+the proportions that the groups left open there.
 
 Defined results: case and surrounding blanks don't matter; nulls, blanks, fill-in words and all-zero
 ids relate nothing.  A row without relations is a group of its own.  Repeated rows keep their own ids.  A null
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.values import category, reference
 from sievework.llm.forest import spanning_forest
+from sievework.operators.sampling import ranked_in
 from sievework.session import cut, ranked
 
 RELATIONS = ("sample_id", "story_cluster_id", "source_ref", "author_id")
@@ -86,24 +88,44 @@ def split(rows: DataFrame, targets: DataFrame) -> DataFrame:
     heavy = spark.createDataFrame(dealt, "group_row_id bigint, split_name string")
     open_rows = {s: max(0.0, x) for s, x in lacks.items()}
     rest = sum(open_rows.values()) or 1.0
-    light = ranked(
-        sized.where(~is_heavy).select(
+    multi = ranked(
+        sized.where(~is_heavy & (F.col("rows") > 1)).select(
             "group_row_id", F.floor(F.log2("rows")).alias("band"), "main", F.xxhash64("group_row_id").alias("h")
         ),
         [F.desc("band"), F.col("main"), F.col("h"), F.col("group_row_id")],
     )
-    at, edge = (F.col("rank") + 0.5) * F.lit((5**0.5 - 1) / 2) % 1, 0.0
-    name = F.lit(wanted[-1][0])
-    bounds = []
-    for s, _ in wanted[:-1]:
+    names = [s for s, _ in wanted]
+    edges, edge = [], 0.0
+    for s in names:
         edge += open_rows[s] / rest
-        bounds.append((edge, s))
-    for edge, s in reversed(bounds):
-        name = F.when(at < edge, s).otherwise(name)
-    both = light.select("group_row_id", name.alias("split_name")).union(heavy)
+        edges.append(F.lit(edge))
+    at = (F.col("rank") + 0.5) * F.lit((5**0.5 - 1) / 2) % 1
+    placed = cut(multi.select("group_row_id", _dealt(at, edges, names).alias("split_name")).union(heavy))
+    # single rows come last: per dimension they fill what the groups left open
+    held = keyed.join(placed, "group_row_id", "left").groupBy(F.col("dimension").alias("main")).agg(
+        *(F.greatest(F.lit(0.0), F.count("*") * (p / whole) - F.count_if(F.col("split_name") == s)).alias(f"open_{i}") for i, (s, p) in enumerate(wanted))
+    )
+    lack = sum((F.col(f"open_{i}") for i in range(len(wanted))), F.lit(0.0))
+    singles = sized.where(~is_heavy & (F.col("rows") == 1)).select("group_row_id", "main")
+    order = F.sha2(F.col("group_row_id").cast("string"), 256)
+    counts = singles.groupBy("main").agg(F.count("*").alias("n"))
+    small = ranked_in(singles, "main", order).join(counts.join(held, "main"), "main")
+    shares, edge = [], F.lit(0.0)
+    for i, (_, p) in enumerate(wanted):
+        edge = edge + F.when(lack > 0, F.col(f"open_{i}") / lack).otherwise(p / whole)
+        shares.append(edge)
+    both = placed.union(small.select("group_row_id", _dealt((F.col("r") + 0.5) / F.col("n"), shares, names).alias("split_name")))
     return keyed.join(both, "group_row_id").select("split_row_id", "group_row_id", "dimension", "split_name")
 
 
+def _dealt(at, edges: list, names: list[str]):
+    """The split in whose part of [0, 1) a position lies."""
+    name = F.lit(names[-1])
+    for edge, s in reversed(list(zip(edges[:-1], names[:-1]))):
+        name = F.when(at < edge, s).otherwise(name)
+    return name
+
+
 def split_report(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Per split: groups, rows, reached and wanted permille, and the largest gap of a dimension's permille.
 
