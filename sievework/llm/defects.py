@@ -45,12 +45,14 @@ _ANSWERS = re.compile(
     rf"|\b(?:[Aa]nswers?|[Oo]ptions?|[Cc]hoices?|[Cc]hoose|[Ss]elect|[Pp]ick)\b[^.!?\n]{{0,24}}?(?<![A-Za-z]){_LETTERS}(?![A-Za-z])"
 )
 _BARE = re.compile(rf"^\W*{_LETTERS}(?:\W*(?:和|与|及|and)?\W*{_LETTERS})*\W*$")
+_MARK = re.compile(r"^\W*[A-Z]\s*[.．)）、:：]\W*$")
+_OPTION = re.compile(r"^\W*[A-Z]\s*[.．)）、:：]\s*\w")
 _FINAL_WORD = re.compile(r"^\W*(?:是|否|无法确定|信息不足|证据不足|无法判断|yes|no|cannot be determined)\W*$", re.I)
 # Wordings by which an answer is declined.
 _DECLINES = re.compile(
     r"(?:无法|不能|不便|没有办法|没办法|难以|恕我不|恕不|我拒绝|我不会)(?:再)?(?:为您|为你|对|协助|帮助|回答|提供|完成|给出|作出|做出|发表|讨论|处理|判断|评论|参与)"
     r"|超出了?我|(?:作为|身为)一?[个名]?(?:人工智能|语言模型|AI|助手)|(?:抱歉|对不起|不好意思|遗憾)[，,。 ]|请(?:换|咨询|谅解|理解)|希望您?能?理解|欢迎继续提问|其他需要"
-    r"|\b(?:I(?:'m| am) (?:sorry|unable|not able)|I (?:can(?:'|’)?t|cannot|can not|won(?:'|’)?t|will not|must decline|have to decline|am unable|do not feel)|as an? (?:AI|language model)|(?:beyond|outside) what I|unable to (?:help|answer|assist)|not able to (?:help|answer)|sorry, but|please (?:ask|consult|try) (?:another|a|something)|decline to)",
+    r"|\b(?:I(?:'m| am) (?:sorry|unable|not able)|I (?:can(?:'|’)?t|cannot|can not|won(?:'|’)?t|will not|must decline|have to decline|am unable|do not feel)|as an? (?:AI|language model)|(?:beyond|outside) what I|unable to (?:help|answer|assist)|not able to (?:help|answer)|sorry, but|feel free to ask|please (?:ask|consult|try) (?:another|a|something)|decline to)",
     re.I,
 )
 # Frequent function words of languages written in Latin letters.
@@ -68,6 +70,7 @@ _LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ'’]+")
 _HAN, _KANA, _HANGUL, _CYRILLIC = (
     re.compile(f"[{chr(a)}-{chr(b)}]") for a, b in ((0x4E00, 0x9FFF), (0x3041, 0x30FF), (0xAC00, 0xD7A3), (0x400, 0x4FF))
 )
+_HAN_RUN = re.compile(f"[{chr(0x4E00)}-{chr(0x9FFF)}]+")
 _PLAIN = re.compile(r"[\W_]+")
 _LABEL = re.compile(r"(?:问题|题目|Question|故事|Story|选项|Options)[：:]?\s*")
 _FOREIGN_SCRIPT = re.compile(f"[{chr(0x3041)}-{chr(0x30FF)}{chr(0xAC00)}-{chr(0xD7A3)}{chr(0x400)}-{chr(0x4FF)}]")
@@ -100,7 +103,7 @@ def _foreign(clause: str, language: str, names: set[str]) -> float:
     words = [w for w in _LATIN_WORD.findall(clause) if len(w) > 1 and w not in names and w.lower() not in ("boxed", "think", "text")]
     kana, hangul, cyrillic = (len(p.findall(clause)) for p in (_KANA, _HANGUL, _CYRILLIC))
     cyrillic = cyrillic if cyrillic > 2 else 0
-    han = len(_HAN.findall(clause))
+    han = sum(len(run) for run in _HAN_RUN.findall(clause) if run not in names)
     if kana > 0.15 * han and kana > 1:
         kana, han = kana + han, 0
     latin = sum(map(len, words))
@@ -122,9 +125,13 @@ def _foreign(clause: str, language: str, names: set[str]) -> float:
 
 def clauses(answer: str) -> list[str]:
     """An answer's clauses with at least one letter, digit or box; think tags are dropped."""
-    out = []
+    out: list[str] = []
     for c in _CLAUSE.findall(_OPEN_BOX.sub("", _EMPTY_BOX.sub("", _TAGS.sub("\n", answer)).rstrip())):
-        if _WORD_CHARS.search(c):
+        if not _WORD_CHARS.search(c):
+            continue
+        if out and _MARK.match(out[-1]):  # an option's letter belongs to its text
+            out[-1] += " " + c.strip()
+        else:
             out.append(c.strip())
     return out
 
@@ -138,6 +145,8 @@ def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
     names = set(_LATIN_WORD.findall(user)) - _ENGLISH
     if language == "en":
         names = {n for n in names if n[:1].isupper()}
+    elif language == "zh" and _LATIN_WORD.search(answer):  # Chinese names inside other writing
+        names |= {run for run in _HAN_RUN.findall(answer) if len(run) < 5 and run in user}
     x = np.zeros((len(parts), 16))
     size = np.zeros(len(parts))
     final = False
@@ -153,11 +162,12 @@ def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
             pieces = [plain[k : k + 8] for k in range(0, len(plain) - 7, 8)]
             echo = sum(p in plain_user for p in pieces) / len(pieces)
         else:
-            echo = float(len(plain) > 3 and plain in plain_user)
+            echo = float((len(plain) > 3 or _OPTION.match(c) is not None) and plain in plain_user)
         if echo < 1 and (label := _LABEL.match(c)) and len(c) > label.end() + 3 and _PLAIN.sub("", c[label.end() :]) in plain_user:
             echo = 1.0
         foreign = _foreign(c, language, names) if strange else 0.0
         declines = bool(_DECLINES.search(bare))
+        answers = answers and echo <= 0.9  # an option repeated from the question is no answer
         final = final or answers
         ended = bool(_ENDED.search(c))
         x[i] = (
@@ -211,8 +221,7 @@ def defect(tags: np.ndarray, x: np.ndarray, size: np.ndarray) -> str | None:
     total = max(size.sum(), 1)
     share = np.array([size[tags == k].sum() for k in range(len(LABELS))]) / total
     final = x[:, 15].any()
-    tail = tags[-1]
-    if (tags == REFUSAL).any() and not final and tail in (REFUSAL, UNFINISHED, FOREIGN) and (x[tags == REFUSAL, 2] > 0).any():
+    if not final and ((tags[-3:] == REFUSAL) & (x[-3:, 2] > 0)).any():
         return "refusal"
     body = (x[:, 1] == 0) | (x[:, 5] > 0)
     if share[FOREIGN] > 0.5 * size[body].sum() / total and share[FOREIGN] > 0:

@@ -113,6 +113,9 @@ ANSWERS = [
     (9, "乙说“抱歉，这件事我不能告诉你”，可见乙在保密。所以答案是B。", None),
     (10, "甲的话是称赞。综上，答案是\n\\boxed{", "truncated"),
     (11, "……", "empty"),
+    (12, "乙认为雨伞在哪里？\nA. 门卫室\nB. 仓库", "copies_question"),
+    (13, "So 甲 most likely misunderstood what the others said about it.\n\\boxed{A}", "other_language"),
+    (14, "抱歉，我不能对这类内容作出判断，希望您能理解。\n\\boxed{}", "refusal"),
 ]
 
 
