@@ -44,3 +44,26 @@ def fingerprint(manifest: DataFrame) -> str:
     """SHA-256 of the manifest as compact JSON with sorted keys, files in path order (a list for the driver)."""
     files = [{"path": r["path"], "size": r["size"], "sha256": r["sha256"]} for r in manifest.orderBy("path").toLocalIterator()]
     return hashlib.sha256(json.dumps(files, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def repository_errors(files: DataFrame, index: DataFrame, required: list[str], forbidden: str, least_bytes: int, shard: str = r"\.safetensors$") -> DataFrame:
+    """``(path, error)`` of a repository listing ``(path, size)`` against an index ``(path)`` of its shards.
+
+    Required names that are absent, files that match ``forbidden``, index entries without a file, shards outside the
+    index, and ``*`` / ``too_small`` if all shards together have fewer than ``least_bytes``.
+    """
+    spark = files.sparkSession
+    must = spark.createDataFrame([(r,) for r in required], "path string")
+    shards = files.where(F.col("path").rlike(shard))
+    small = shards.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).where(F.col("n") < least_bytes)
+    parts = [
+        must.join(files, "path", "left_anti").select("path", F.lit("required_missing").alias("error")),
+        files.where(F.col("path").rlike(forbidden)).select("path", F.lit("forbidden").alias("error")),
+        index.select("path").distinct().join(files, "path", "left_anti").select("path", F.lit("shard_missing").alias("error")),
+        shards.join(index.select("path").distinct(), "path", "left_anti").select("path", F.lit("not_in_index").alias("error")),
+        small.select(F.lit("*").alias("path"), F.lit("too_small").alias("error")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

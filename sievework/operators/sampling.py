@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import hash_id
+from sievework.session import cut, written
 
 
 def hash_order(seed: int, *parts: Column) -> Column:
@@ -91,7 +92,7 @@ def waterfill_quota(capacity: DataFrame, count: int, seed: int, label: str) -> D
     )
     taken = units.orderBy(F.col("shared") + F.col("k"), F.col("baseline") + F.col("shared") + F.col("k"), "h").limit(count)
     got = taken.groupBy("key").agg(F.count("*").alias("quota"))
-    return capacity.select("key").join(got, "key", "left").select("key", F.coalesce("quota", F.lit(0)).alias("quota"))
+    return cut(capacity.select("key").join(got, "key", "left").select("key", F.coalesce("quota", F.lit(0)).alias("quota")))
 
 
 def take_quota(rows: DataFrame, quotas: DataFrame, by: str, key: str, cap: int, seed: int, label: str) -> DataFrame:
@@ -121,6 +122,7 @@ def calibration_mix(train: DataFrame, total: int = 2982, seed: int = 42, caps: t
     letter, 30 % of the smallest larger cardinality; both share one dimension count, which is the third's baseline.
     """
     spark = train.sparkSession
+    train = written(train, "calibration")  # read by every bucket
     shares = spark.createDataFrame([("q2", 0.15), ("q3", 0.15), ("replay", 0.70)], "key string, share double")
     budget = {r[0]: r[1] for r in largest_remainder(shares, total).collect()}
     dims = train.select(F.col("dimension").alias("key")).distinct()
@@ -137,6 +139,7 @@ def calibration_mix(train: DataFrame, total: int = 2982, seed: int = 42, caps: t
         c = c.join(shared.withColumnRenamed("quota", "shared"), "key", "left").join(baseline.withColumnRenamed("quota", "baseline"), "key", "left")
         return waterfill_quota(c.fillna(0, ["shared", "baseline"]), count, seed, label)
 
+    replay = cut(replay)
     q_single = fill(single, caps[0], n_single, "q2-single", dims.withColumn("quota", F.lit(0)), replay)
     q_several = fill(several, caps[1], budget["q2"] - n_single, "q2-several", q_single, replay)
     both = replay.union(q_single).union(q_several).groupBy("key").agg(F.sum("quota").alias("quota"))

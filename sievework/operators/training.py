@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,36 @@ def assistant_labels(ids: Column, spans: Column) -> Column:
     return F.transform(ids, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"])), x).otherwise(IGNORED))
 
 
+def chat_tokens(messages, encode):
+    """``(input_ids, labels)`` of conversations under an injected ``encode(role, content) -> ids``: other roles are masked.
+
+    Every message is encoded by itself, so a label span is the range of an assistant message's ids.
+    """
+    def batch(chats: pd.Series) -> pd.DataFrame:
+        ids, labels = [], []
+        for chat in chats:
+            i: list[int] = []
+            m: list[int] = []
+            for turn in chat if chat is not None else []:
+                new = list(encode(turn["role"], turn["content"] or ""))
+                i += new
+                m += new if turn["role"] == "assistant" else [IGNORED] * len(new)
+            ids.append(i)
+            labels.append(m)
+        return pd.DataFrame({"input_ids": ids, "labels": labels})
+
+    return F.pandas_udf(batch, "input_ids array<int>, labels array<int>")(messages)
+
+
+def dataset_stats(rows: DataFrame, limit: int, strategy: str, *by: str) -> DataFrame:
+    """Rows, kept and dropped ones and the longest, per ``by``."""
+    cut = truncated(rows, limit, strategy)
+    return cut.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("dropped")).alias("kept"), F.count_if("dropped").alias("dropped"),
+        F.max(F.size("input_ids")).alias("longest"), F.sum(F.size(F.filter("labels", lambda x: x != IGNORED))).alias("trainable"),
+    )
+
+
 def truncated(rows: DataFrame, limit: int, strategy: str = "left") -> DataFrame:
     """Token rows cut to ``limit``: from the left or right, or too long ones dropped.
 

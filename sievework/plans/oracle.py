@@ -147,6 +147,18 @@ ORACLE["source_metric_names"] = """SELECT CASE WHEN k = '' THEN 'unknown' ELSE k
 ORACLE["document_length_summary"] = """SELECT coalesce(lang, 'missing') AS lang, count(n_chars) AS count, min(n_chars)::DOUBLE AS min, median(n_chars) AS median, quantile_disc(n_chars, 0.95)::DOUBLE AS p95, quantile_disc(n_chars, 0.99)::DOUBLE AS p99,
 max(n_chars)::DOUBLE AS max FROM documents GROUP BY ALL"""
 
+_ROWNAME = "'row-' || lpad(CAST(_source_line AS VARCHAR), CAST(greatest(6, length(CAST(_source_line AS VARCHAR))) AS INTEGER), '0')"
+ORACLE["record_metadata"] = f"""SELECT _source_line, coalesce(nullif(trim(sample_id), ''), {_ROWNAME}) AS sample_id, upper(coalesce(nullif(trim(meta.qtype), ''), 'unknown')) AS qtype,
+coalesce(nullif(trim(meta.dim), ''), 'unknown') AS dimension FROM train_records"""
+ORACLE["source_keys"] = "SELECT _source_line, concat_ws('|', 'sample_id:' || nullif(trim(sample_id), ''), 'source_line:' || _source_line) AS key FROM train_records"
+ORACLE["sample_id_occurrences"] = "SELECT times, count(*) AS keys FROM (SELECT sample_id, count(*) AS times FROM train_records GROUP BY 1) GROUP BY 1"
+ORACLE["most_repeated_clusters"] = "SELECT story_cluster_id, count(*) AS times FROM train_records WHERE story_cluster_id IS NOT NULL GROUP BY 1 ORDER BY times DESC, story_cluster_id LIMIT 20"
+ORACLE["replay_outside_train"] = """SELECT sample_id, _source_line FROM train_records r WHERE split_name <> 'train' AND NOT EXISTS (SELECT 1 FROM train_records t WHERE t.split_name = 'train' AND t.sample_id = r.sample_id)"""
+ORACLE["chat_token_stats"] = """WITH m AS (SELECT split_name, _source_line, unnest(messages, max_depth := 1) AS m FROM train_records), n AS (SELECT split_name, _source_line, m.role AS role, 2 + octet_length(encode(coalesce(m.content, ''))) AS n,
+row_number() OVER (PARTITION BY _source_line) AS pos FROM m), t AS (SELECT split_name, _source_line, role, n, sum(n) OVER (PARTITION BY _source_line ORDER BY pos) AS e, sum(n) OVER (PARTITION BY _source_line) AS total FROM n),
+r AS (SELECT split_name, _source_line, max(total) AS total, sum(CASE WHEN role = 'assistant' THEN greatest(0, e - greatest(e - n, total - 1024)) ELSE 0 END) AS trainable FROM t GROUP BY ALL)
+SELECT split_name, count(*) AS rows, count(*) FILTER (trainable > 0) AS kept, count(*) FILTER (trainable = 0) AS dropped, max(least(total, 1024))::BIGINT AS longest, sum(trainable)::BIGINT AS trainable FROM r GROUP BY split_name"""
+
 # ---- labelled items
 
 
@@ -201,6 +213,8 @@ u AS (SELECT *, unnest(generate_series(0, CAST(ceil((target - r) / n) AS BIGINT)
 SELECT dimension, sample_id, occurrence, left(sha256(dimension || ':' || sample_id || ':' || occurrence), 20) AS instance_id FROM u"""
 ORACLE["replay_quota"] = f"""WITH {ROWS}, k AS (SELECT key, count(*) OVER () AS m, row_number() OVER (ORDER BY sha256('42:dimension-remainder:' || key)) AS r FROM dims)
 SELECT key, 2087 // m + CASE WHEN r <= 2087 - (2087 // m) * m THEN 1 ELSE 0 END AS quota FROM k"""
+ORACLE["quota_summary"] = f"""WITH {ROWS}, k AS (SELECT key, count(*) OVER () AS m, row_number() OVER (ORDER BY sha256('42:dimension-remainder:' || key)) AS r FROM dims),
+q AS (SELECT 2087 // m + CASE WHEN r <= 2087 - (2087 // m) * m THEN 1 ELSE 0 END AS quota FROM k) SELECT count(*) AS groups, sum(quota)::BIGINT AS rows, min(quota) AS min, max(quota) AS max, max(quota) - min(quota) AS spread FROM q"""
 ORACLE["waterfill_quota"] = f"""WITH {ROWS}, c AS (SELECT key, n * 2 AS capacity, n % 7 AS baseline, sha256('42:dimension-waterfill:q3:' || key) AS h FROM dims),
 u AS (SELECT key, baseline, h, unnest(generate_series(0, least(capacity, 447) - 1)) AS k FROM c), t AS (SELECT * FROM u ORDER BY k, baseline + k, h LIMIT 447)
 SELECT c.key, count(t.key) AS quota FROM c LEFT JOIN t ON c.key = t.key GROUP BY c.key"""
@@ -213,3 +227,6 @@ x AS (SELECT path, 'missing' AS error, 0 AS r FROM j WHERE op IS NULL UNION ALL
 UNION ALL SELECT path, 'unexpected', 3 FROM j WHERE ep IS NULL AND NOT regexp_matches(path, '(^|/)\\.'))""".replace("\\\\", "\\")
 ORACLE["manifest_reconcile"] = f"WITH {_FILES} SELECT path, error FROM x"
 ORACLE["manifest_first_failures"] = f"WITH {_FILES} SELECT path, arg_min(error, r) AS error FROM x WHERE error <> 'unexpected' GROUP BY path"
+ORACLE["repository_errors"] = """WITH f AS (SELECT doc_kind || '/' || doc_id || '.safetensors' AS path FROM documents), i AS (SELECT 'story/' || doc_id || '.safetensors' AS path FROM documents WHERE lang = 'zh')
+SELECT 'config.json' AS path, 'required_missing' AS error UNION ALL SELECT path, 'forbidden' FROM f WHERE path LIKE 'note/%' UNION ALL SELECT path, 'shard_missing' FROM (SELECT path FROM i EXCEPT SELECT path FROM f)
+UNION ALL SELECT path, 'not_in_index' FROM (SELECT path FROM f EXCEPT SELECT path FROM i)"""

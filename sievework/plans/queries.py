@@ -11,7 +11,7 @@ from sievework.functions.letters import boxed_answer, letters_az, option_letters
 from sievework.functions.messages import evaluation_messages, last_content
 from sievework.functions.text import metric_key, story_of
 from sievework.functions.values import category, letter_set
-from sievework.operators import clusters, compare, evalgrid, labels, manifest, quality, sampling, split, training
+from sievework.operators import clusters, compare, evalgrid, labels, manifest, provenance, quality, sampling, split, training
 from sievework.streaming import prediction_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,6 +256,45 @@ def document_length_summary(spark, sf):
     return quality.length_summary(table(spark, sf, "documents").withColumn("lang", F.coalesce("lang", F.lit("missing"))), "n_chars", "lang")
 
 
+@query
+def record_metadata(spark, sf):
+    return provenance.record_metadata(table(spark, sf, "train_records"))
+
+
+@query
+def source_keys(spark, sf):
+    r = table(spark, sf, "train_records")
+    return r.select("_source_line", provenance.source_key(F.col("sample_id"), F.col("_source_line"), F.struct("meta")).alias("key"))
+
+
+@query
+def sample_id_occurrences(spark, sf):
+    return provenance.occurrences(table(spark, sf, "train_records"), "sample_id")
+
+
+@query
+def most_repeated_clusters(spark, sf):
+    return provenance.most_repeated(table(spark, sf, "train_records").where("story_cluster_id IS NOT NULL"), "story_cluster_id")
+
+
+@query
+def replay_outside_train(spark, sf):
+    records = table(spark, sf, "train_records")
+    replay = records.where("split_name <> 'train'").select("_source_line", "sample_id")
+    return provenance.outside(replay, records.where("split_name = 'train'"), "sample_id")
+
+
+def _utf8(role: str, content: str) -> list[int]:
+    """The byte tokenizer of the tests: a role byte, the content's bytes, an end."""
+    return [{"system": 1, "user": 2, "assistant": 3}.get(role, 4), *content.encode(), 0]
+
+
+@query
+def chat_token_stats(spark, sf):
+    rows = table(spark, sf, "train_records").select("split_name", training.chat_tokens("messages", _utf8).alias("t")).select("split_name", "t.*")
+    return training.dataset_stats(rows, 1024, "left", "split_name")
+
+
 # ---- labelled items
 
 
@@ -361,12 +400,26 @@ def bucket_budgets(spark, sf):
     return sampling.largest_remainder(shares, 2983)
 
 
-@query
-def calibration_mix(spark, sf):
+def _calibration(spark, sf):
     rows = _plain_split_rows(spark, sf).withColumn("meaning", F.when(F.col("gold_letters")[0] == "C", "uncertain"))
     return sampling.calibration_mix(rows)
 
 
+@query
+def calibration_mix(spark, sf):
+    return _calibration(spark, sf)
+
+
+@query
+def calibration_audit(spark, sf):
+    return provenance.selection_audit(_calibration(spark, sf))
+
+
+@query
+def quota_summary(spark, sf):
+    return sampling.quota_summary(sampling.replay_quota(_dim_counts(spark, sf), 2087, 42))
+
+
 # ---- manifests
 
 
@@ -386,6 +439,14 @@ def manifest_reconcile(spark, sf):
     return manifest.reconciled(_expected(spark, sf), _observed(spark, sf))
 
 
+@query
+def repository_errors(spark, sf):
+    docs = table(spark, sf, "documents")
+    files = docs.select(F.concat(F.col("doc_kind"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".safetensors")).alias("path"), F.col("n_chars").alias("size"))
+    index = docs.where("lang = 'zh'").select(F.concat(F.lit("story/"), F.col("doc_id").cast("string"), F.lit(".safetensors")).alias("path"))
+    return manifest.repository_errors(files, index, ["config.json"], "^note/", 1)
+
+
 @query
 def manifest_first_failures(spark, sf):
     return manifest.first_failures(_expected(spark, sf), _observed(spark, sf))

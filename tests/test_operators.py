@@ -211,3 +211,39 @@ def test_length_summary(spark):
     r = quality.length_summary(df, "n").first()
     assert (r["count"], r["min"], r["median"], r["p95"], r["p99"], r["max"]) == (100, 1, 50.5, 95, 99, 100)
     assert quality.length_summary(df.where("false"), "n").first()["count"] == 0
+
+
+def test_provenance(spark):
+    from sievework.operators import provenance
+
+    df = spark.createDataFrame([("a", 1, "x"), (" ", 2, "x"), (None, None, "y")], "s string, n bigint, r string")
+    keys = [r[0] for r in df.select(provenance.source_key(F.col("s"), F.col("n"), F.struct("r"))).collect()]
+    assert keys[:2] == ["sample_id:a|source_line:1", "source_line:2"] and keys[2].startswith("sha256:")
+    rows = spark.createDataFrame([("b1", "a", "d"), ("b1", "a", "d"), ("b1", "b", "e")], "bucket string, sample_id string, dimension string")
+    r = provenance.selection_audit(rows).first()
+    assert (r["rows"], r["samples"], r["dimensions"], r["most_uses"]) == (3, 2, 2, 2)
+    assert [tuple(x) for x in provenance.most_repeated(rows, "sample_id").collect()] == [("a", 2), ("b", 1)]
+    assert {tuple(x) for x in provenance.occurrences(rows, "sample_id").collect()} == {(1, 1), (2, 1)}
+    assert provenance.outside(rows, rows.limit(0), "sample_id").count() == 3
+    with pytest.raises(AssertionError, match="two"):
+        provenance.invariants({"one": True, "two": False})
+    listing = spark.createDataFrame([("x/a.jsonl", "h")], "path string, sha256 string")
+    provenance.pinned(listing, {"a.jsonl": "h"})
+    with pytest.raises(ValueError, match="b.jsonl: missing"):
+        provenance.pinned(listing, {"a.jsonl": "h", "b.jsonl": "h"})
+
+
+def test_chat_tokens_mask_other_roles(spark):
+    m = "messages array<struct<role: string, content: string>>"
+    df = spark.createDataFrame([([("user", "ab"), ("assistant", "c"), ("user", None), ("assistant", "d")],), (None,)], m)
+    got = df.select(training.chat_tokens("messages", lambda role, content: list(content.encode())).alias("t")).select("t.*").collect()
+    assert got[0]["input_ids"] == [97, 98, 99, 100] and got[0]["labels"] == [-100, -100, 99, 100] and got[1]["input_ids"] == []
+    s = training.dataset_stats(df.select(training.chat_tokens("messages", lambda role, content: list(content.encode())).alias("t")).select("t.*"), 2, "left").first()
+    assert (s["rows"], s["kept"], s["dropped"], s["longest"], s["trainable"]) == (2, 1, 1, 2, 2)
+
+
+def test_repository_errors(spark):
+    files = spark.createDataFrame([("config.json", 1), ("a.safetensors", 5), ("b.safetensors", 5), ("x.gguf", 1)], "path string, size bigint")
+    index = spark.createDataFrame([("a.safetensors",), ("c.safetensors",)], "path string")
+    got = {tuple(r) for r in manifest.repository_errors(files, index, ["config.json", "tok.json"], r"\.gguf$", 100).collect()}
+    assert got == {("tok.json", "required_missing"), ("x.gguf", "forbidden"), ("c.safetensors", "shard_missing"), ("b.safetensors", "not_in_index"), ("*", "too_small")}
