@@ -106,3 +106,14 @@ def test_every_query_has_sql_of_the_same_name():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_intermediate_tables_and_ranks(spark):
+    from sievework.session import cut, drop_written, ranked, written
+
+    df = spark.range(1000).withColumn("g", F.col("id") % 3)
+    table = written(df, "t")
+    assert table.count() == cut(df).count() == 1000 and drop_written(spark) >= 1 and drop_written(spark) == 0
+    got = ranked(df, [F.desc("g"), F.col("id")]).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1000)) and [r["g"] for r in got] == sorted((r["g"] for r in got), reverse=True)
+    assert ranked(df.where("false"), [F.col("id")]).count() == 0
