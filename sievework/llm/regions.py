@@ -130,7 +130,7 @@ def routed(packed: DataFrame, dictionary: bytes, bands: int, rows: int, cross: b
     if cross:
         whole = Window.partitionBy("bucket")
         signed = signed.withColumn("sides", F.bit_or("side").over(whole)).where("sides = 3")
-    members = signed.where("region <> k").select("region", "k").distinct()
+    members = written(signed.where("region <> k").select("region", "k").distinct(), "members")  # read four times
     return members.union(members.select("region", F.col("region").alias("k")).distinct())
 
 
