@@ -6,11 +6,11 @@ directions that keep all category sums:
 
 * inside a partition, units of the same cell are exchanged with each other (their indicators are equal, so all
   sums stay), which leaves one open unit per cell; open units of one dimension fly on together;
-* what is still open merges upward, first per dimension over all partitions, then over all dimensions;
+* what is still open merges upward in groups of bounded size, per dimension over ever more partitions, then over
+  all dimensions;
 * the landing gives up constraints one by one, the last of them first, and resolves the rest.
 
-Only open units move upward: at most one per cell and partition, and at most one per constraint after a
-flight.  The table of cells is bounded by the targets (values without a target count as one rest value).
+Only open units move upward, at most one per constraint and dimension after a flight.  The table of cells is bounded by the targets (values without a target count as one rest value).
 
 Defined results: case, width and surrounding blanks of values, order and repetition of letters don't matter.  A
 ``sample_id`` counts once, with the values of its first row; a null or blank ``sample_id`` is left out.  Missing values
@@ -20,6 +20,7 @@ are a rest value of their field.  With no rows or no targets nothing is drawn.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ from sievework.session import cut
 
 FIELDS = ("question_type", "dimension", "gold_letters")
 FRACTION = 0.1
+#: Open units that a group should have when they merge upward; a flight leaves a few dozen of them.
+GROUP = 2000
 
 
 def plain_rows(rows: DataFrame) -> DataFrame:
@@ -209,10 +212,15 @@ def draw_sample(rows: DataFrame, targets: DataFrame, fraction: float = FRACTION,
     done, closed = [], (F.col("p") <= 1e-9) | (F.col("p") >= 1 - 1e-9)
     level = cut(open_units.repartition("sample_id").sortWithinPartitions("sample_id").mapInPandas(inside, schema))
     done.append(level.where(closed))
-    level = cut(level.where(~closed).groupBy("c_dimension").applyInPandas(merged, schema))
-    done.append(level.where(closed))
+    blocks = 2
+    while blocks > 1:  # upward: groups of a bounded number of open units, until one per dimension is left
+        level = level.where(~closed)
+        blocks = -(-level.count() // (GROUP * max(1, len(known["dimension"]))))
+        block = F.pmod(F.xxhash64("sample_id"), F.lit(max(blocks, 1)))
+        level = cut(level.withColumn("block", block).groupBy("c_dimension", "block").applyInPandas(merged, schema))
+        done.append(level.where(closed))
     last = level.where(~closed).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(landed, schema)
-    drawn = done[0].union(done[1]).union(cut(last)).where("p > 0.5").select("sample_id")
+    drawn = reduce(DataFrame.union, [*done, cut(last)]).where("p > 0.5").select("sample_id")
     return units.join(drawn, "sample_id").select("sample_id", "split_row_id", *FIELDS)
 
 
