@@ -235,3 +235,11 @@ def row_errors(rows: DataFrame, seeds: list[int]) -> DataFrame:
         .when(F.count("*").over(w) > 1, "duplicate_key")
     )
     return rows.select("prediction_id", "run_id", "seed", "sample_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def filled_groups(metrics: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every seed of a run with every group ``(group_kind, group_value)``: absent cells have totals of 0 and null rates."""
+    grid = metrics.select("run_id", "seed").distinct().crossJoin(F.broadcast(groups.select("group_kind", "group_value").distinct()))
+    key = ["run_id", "seed", "group_kind", "group_value"]
+    counts = [c for c in metrics.columns if c not in key and not c.endswith(("accuracy", "parse_rate"))]
+    return grid.join(metrics, key, "left").fillna(0, counts)

@@ -53,6 +53,12 @@ WHEN sample_id IS NULL OR trim(sample_id) = '' THEN 'missing_sample_id' WHEN coa
 WHEN gold_letters IS NULL OR len(gold_letters) = 0 THEN 'missing_gold' WHEN count(*) OVER (PARTITION BY run_id, seed, sample_id) > 1 THEN 'duplicate_key' END AS reason FROM predictions)
 SELECT * FROM r WHERE reason IS NOT NULL"""
 ORACLE["metric_grouping_sets"] = f"WITH {GROUPED} SELECT * FROM metrics"
+_NAMES = " UNION ALL ".join([f"SELECT 'primary' AS group_kind, '{n}' AS group_value" for n in WEIGHTS] + [f"SELECT 'qtype', '{q}'" for q in ("Q1", "Q2", "Q3", "Q4")])
+ORACLE["filled_primary_groups"] = f"""WITH {GROUPED}, names AS ({_NAMES}), s AS (SELECT DISTINCT run_id, seed FROM metrics)
+SELECT s.run_id, s.seed, n.group_kind, n.group_value, coalesce(total, 0) AS total, coalesce(correct, 0) AS correct, accuracy FROM s CROSS JOIN names n LEFT JOIN metrics m
+ON m.run_id = s.run_id AND m.seed = s.seed AND m.group_kind = n.group_kind AND m.group_value = n.group_value"""
+ORACLE["pending_attempts"] = """SELECT run_id, seed, sample_id FROM (SELECT DISTINCT sample_id FROM public_records), (SELECT DISTINCT seed FROM predictions), (SELECT DISTINCT run_id FROM predictions)
+EXCEPT SELECT run_id, seed, sample_id FROM predictions WHERE error IS NULL"""
 ORACLE["seed_summary"] = f"""WITH {GROUPED} SELECT run_id, group_kind, group_value, count(*) AS seeds, round(avg(accuracy), 9) AS mean, round(stddev_pop(accuracy), 9) AS std,
 min(accuracy) AS min, max(accuracy) AS max FROM metrics GROUP BY ALL"""
 ORACLE["dimension_coverage"] = f"""WITH {LAST}, {SCORED} SELECT run_id, count(*) AS total, count(*) FILTER (fine <> 'unknown') AS known, count(*) FILTER (fine = 'unknown') AS unknown,

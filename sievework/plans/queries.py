@@ -88,6 +88,21 @@ def metric_grouping_sets(spark, sf):
     return evalgrid.grouped_metrics(_last(spark, sf))
 
 
+@query
+def filled_primary_groups(spark, sf):
+    m = evalgrid.grouped_metrics(_last(spark, sf))
+    names = [("primary", n) for n in WEIGHTS] + [("qtype", q) for q in ("Q1", "Q2", "Q3", "Q4")]
+    out = evalgrid.filled_groups(m, spark.createDataFrame(names, "group_kind string, group_value string"))
+    return out.select("run_id", "seed", "group_kind", "group_value", "total", "correct", "accuracy")
+
+
+@query
+def pending_attempts(spark, sf):
+    log = table(spark, sf, "predictions")
+    grid = evalgrid.expected_grid(table(spark, sf, "public_records"), log).crossJoin(F.broadcast(log.select("run_id").distinct()))
+    return prediction_log.pending(grid, log).select("run_id", "seed", "sample_id")
+
+
 @query
 def seed_summary(spark, sf):
     return evalgrid.over_seeds(evalgrid.grouped_metrics(_last(spark, sf)))

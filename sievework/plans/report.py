@@ -67,6 +67,16 @@ def expectations(observed: dict[str, Any], expected: dict[str, Any]) -> None:
         raise ReportError("; ".join(wrong))
 
 
+def same_protocol(baseline: dict[str, Any], candidate: dict[str, Any]) -> None:
+    """Two runs' manifests must name the same data, counts, generation settings, prompts and seeds; all differences in one error."""
+    wrong = [] if baseline.get("dataset_sha256") else ["dataset_sha256 is missing"]
+    for key in ("dataset_sha256", "record_count", "generation", "prompt", "seeds"):
+        if baseline.get(key) != candidate.get(key):
+            wrong.append(f"{key} differs")
+    if wrong:
+        raise ReportError("; ".join(wrong))
+
+
 def dataset_audit(items: DataFrame, gold: DataFrame) -> dict[str, Any]:
     """Records, safe and mapped items, and their distributions, for ``expectations``."""
     joined = items.select("public_line", "question_type", "task_format", "dimension").join(gold, "public_line")

@@ -53,3 +53,13 @@ def run_to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Adds finished attempts to the log; a failed write leaves nothing behind (commit protocol)."""
+    rows.write.mode("append").parquet(path)
+
+
+def pending(grid: DataFrame, log: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Grid keys without a success in the log: what a resumed run still has to do."""
+    return grid.join(log.where("error IS NULL").select(*key).distinct(), list(key), "left_anti")

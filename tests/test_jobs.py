@@ -117,3 +117,24 @@ def test_intermediate_tables_and_ranks(spark):
     got = ranked(df, [F.desc("g"), F.col("id")]).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1000)) and [r["g"] for r in got] == sorted((r["g"] for r in got), reverse=True)
     assert ranked(df.where("false"), [F.col("id")]).count() == 0
+
+
+def test_protocols_gaps_and_appends(spark, tmp_path):
+    a = {"dataset_sha256": "x", "record_count": 3, "generation": {"n": 1}, "prompt": "p", "seeds": [1]}
+    report.same_protocol(a, dict(a))
+    with pytest.raises(report.ReportError, match="generation differs; seeds differs"):
+        report.same_protocol(a, a | {"generation": {}, "seeds": [2]})
+    with pytest.raises(report.ReportError, match="missing"):
+        report.same_protocol({}, {})
+    log = grid(spark, [["A"], ["B"]]).where("NOT (seed = 1 AND sample_id = 's1')")
+    prediction_log.append(log.where("seed = 0"), str(tmp_path / "log"))
+    prediction_log.append(log.where("seed > 0"), str(tmp_path / "log"))
+    kept = spark.read.parquet(str(tmp_path / "log"))
+    want = grid(spark, [["A"], ["B"]]).select("run_id", "seed", "sample_id")
+    assert [tuple(r) for r in prediction_log.pending(want, kept).collect()] == [("r", 1, "s1")]
+    from sievework.operators import evalgrid
+
+    m = evalgrid.grouped_metrics(kept)
+    names = spark.createDataFrame([("qtype", "Q1"), ("qtype", "Q9")], "group_kind string, group_value string")
+    got = {(r["seed"], r["group_value"]): (r["total"], r["accuracy"]) for r in evalgrid.filled_groups(m, names).collect()}
+    assert got[1, "Q1"] == (1, 1.0) and got[1, "Q9"] == (0, None) and len(got) == 6
