@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,7 +72,36 @@ def _relation(column: str) -> str:
     return f"SELECT split_row_id AS id, '{column}' AS f, {v} AS v FROM split_rows WHERE {known}"
 
 
+#: Compatibility forms of single characters, for SQL engines without NFKC; the table is built from Unicode data.
+_FORMS = {
+    chr(c): f
+    for c in range(0xA0, 0x10000)
+    if not 0xD800 <= c < 0xE000 and len(f := unicodedata.normalize("NFKC", chr(c))) == 1 and f != chr(c) and f.isalnum()
+}
+_NORMAL = "regexp_replace(lower(translate(nfc_normalize({x}), '%s', '%s')), '[^\\p{{L}}\\p{{N}}]', '', 'g')" % ("".join(_FORMS), "".join(_FORMS.values()))
+_USER = "list_filter(messages, lambda m: m.role = 'user')[-1].content"
+_STORY = f"""CASE WHEN regexp_matches({_USER}, '(故事|Story)[：:]') THEN regexp_replace(regexp_extract({_USER}, '(?s)^.*?(?:故事|Story)[：:](.*)$', 1), '(?s)^(.*)(?:选项|Options)[：:].*$', '\\1') END"""
+
+
+def _pairs(text: str, threshold: float, keep: str) -> str:
+    """All pairs of rows whose sets of 5-character pieces are similar, by counting common pieces."""
+    return f"""WITH r AS (SELECT _source_line AS line, split_name, {_NORMAL.format(x=text)} AS x FROM train_records), t AS (SELECT x, row_number() OVER (ORDER BY x) AS id FROM (SELECT DISTINCT x FROM r WHERE x <> '')),
+s AS (SELECT DISTINCT id, substr(x, i, 5) AS p FROM (SELECT id, x, unnest(range(1, greatest(2, length(x) - 3))) AS i FROM t)), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.p = b.p AND a.id < b.id GROUP BY ALL),
+near AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= {threshold} * (x.n + y.n - c) UNION ALL SELECT id, id FROM t), l AS (SELECT line, split_name, id FROM r JOIN t USING (x))
+SELECT DISTINCT least(u.line, v.line) AS line_a, greatest(u.line, v.line) AS line_b FROM near JOIN l u ON u.id = a JOIN l v ON v.id = b WHERE u.line <> v.line AND {keep}"""
+
+
+#: Every window of 150 characters, those of two documents, and their union per document.
+_SHARED = """w AS (SELECT doc_id, i, hash(substr(text, i + 1, 150)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS i FROM documents WHERE length(text) >= 150)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), c AS (SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM s)),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 150 THEN 0 ELSE 1 END AS fresh FROM c),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM n),
+spans AS (SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 150 - min(i))::BIGINT AS span_chars FROM g GROUP BY doc_id, island)"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": _pairs(_STORY, overlap.THRESHOLD, "(u.split_name = 'train') <> (v.split_name = 'train') AND u.split_name IN ('train', 'dev', 'test') AND v.split_name IN ('train', 'dev', 'test')"),
+    "p4_found": _pairs(_USER, nearjoin.THRESHOLD, "true"),
     "p3_found": f"""WITH RECURSIVE r AS ({' UNION ALL '.join(map(_relation, groupsplit.RELATIONS))}),
 s AS (SELECT f, v, min(id) AS lo FROM r GROUP BY f, v HAVING count(DISTINCT id) > 1),
 star AS (SELECT DISTINCT id, lo FROM r JOIN s USING (f, v) WHERE id <> lo),
@@ -84,4 +114,9 @@ v AS (SELECT sample_id, 'question_type' AS f, question_type AS x FROM k UNION AL
 c AS (SELECT f, x, count(DISTINCT sample_id) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT count(DISTINCT sample_id) // 10 AS size FROM k),
 t AS (SELECT target_id, field_name AS f, CASE WHEN field_name = 'gold_letters' THEN {_letter_set("string_split(field_value, ',')")} ELSE {_category('field_value')} END AS x, target_permille, min_rows FROM sample_targets)
 SELECT target_id FROM t LEFT JOIN c USING (f, x), z WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 1000 < target_permille * size""",
+    "p9_found": f"""WITH {_SHARED} SELECT doc_id, span_start, span_chars FROM spans""",
+    "p9_shared_report": f"""WITH {_SHARED}, d AS (SELECT doc_id, max(coalesce(length(text), 0)) AS chars FROM documents GROUP BY doc_id),
+p AS (SELECT doc_id, sum(span_chars)::BIGINT AS shared_chars, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(p.spans, 0) AS spans, CASE WHEN chars > 0 THEN round(coalesce(shared_chars, 0) / chars, 6) ELSE 0.0 END AS shared_share
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id""",
 }
