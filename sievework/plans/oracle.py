@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sievework.functions.messages import MULTI_PROMPT, SINGLE_PROMPT
 from sievework.functions.values import MISSING
+from sievework.operators.labels import MEANINGS
 from sievework.plans.queries import BASELINE, CANDIDATE, WEIGHTS
 
 ORACLE: dict[str, str] = {}
@@ -194,6 +195,14 @@ ORACLE["gold_audit"] = f"""WITH {_mapped(_OPTION_KEY)}, r AS (SELECT p.*, list_f
 s AS (SELECT *, CASE WHEN options IS NULL OR correct_answers IS NULL THEN 'answer_text_not_provided' WHEN strict IS NULL THEN 'answer_text_unmapped' WHEN strict <> reported THEN 'letter_text_conflict'
 WHEN lower(task_format) = 'mcq_single' AND len(reported) <> 1 THEN 'single_format_with_multiple_answers' ELSE 'letter_text_agree' END AS reason FROM r)
 SELECT public_line, {_text('reported')} AS reported, {_text('strict')} AS mapped, reason, reason = 'letter_text_agree' AS safe FROM s"""
+_OUTER = "[。.!！?？:：;；,，()（）\\\\[\\\\]【】]".replace("\\\\", "\\")
+_OPT = r"(?m)^\s*([A-Z])\s*[.．、)]\s*(.*?)\s*$"
+_MEANING = "CASE regexp_replace(regexp_replace(t, '[\\s\\p{Z}]+', '', 'g'), '^" + _OUTER + "+|" + _OUTER + "+$', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MEANINGS.items()) + " END"
+ORACLE["yes_no_meanings"] = f"""WITH {FIELDS}, q AS (SELECT _source_line, gold, CASE WHEN {_SECTION} = '' THEN prompt ELSE {_SECTION} END AS section FROM f1 WHERE upper(trim(meta.qtype)) = 'Q3'),
+o AS (SELECT _source_line, gold, regexp_extract_all(section, '{_OPT}', 1) AS ls, list_transform(regexp_extract_all(section, '{_OPT}', 2), lambda t: {_MEANING}) AS ms FROM q),
+e AS (SELECT *, CASE WHEN len(ls) = 0 THEN 'not_three_options' WHEN len(ls) <> len(list_distinct(ls)) THEN 'duplicate_option' WHEN len(ls) <> 3 THEN 'not_three_options' WHEN len(list_filter(ms, lambda m: m IS NOT NULL)) <> len(ls) THEN 'unknown_option_text'
+WHEN len(list_distinct(ms)) <> 3 THEN 'not_one_to_one' WHEN len(gold) <> 1 OR NOT list_contains(ls, gold[1]) THEN 'no_single_gold' END AS error FROM o)
+SELECT _source_line, error, CASE WHEN error IS NULL THEN ms[list_position(ls, gold[1])] END AS meaning FROM e"""
 _LINES = "array_to_string(list_transform(list_sort(list_transform(map_entries(options), lambda e: {'l': upper(e.key), 't': e.value})), lambda e: e.l || '. ' || e.t), chr(10))"
 ORACLE["evaluation_prompts"] = f"""SELECT public_line, sha256(CASE WHEN lower(coalesce(task_format, '')) = 'mcq_single' THEN '{SINGLE_PROMPT}' ELSE '{MULTI_PROMPT}' END) AS system_sha,
 sha256('请根据下面的故事回答问题。' || chr(10) || chr(10) || '故事：' || chr(10) || story || chr(10) || chr(10) || '问题：' || chr(10) || question || chr(10) || chr(10) || '选项：' || chr(10) || {_LINES}) AS user_sha FROM public_records"""
