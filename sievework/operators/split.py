@@ -1,16 +1,14 @@
 """A dimension-aware train and dev split that keeps story clusters whole.
 
 The choice is sequential and looks at clusters only, so rows are first aggregated to (cluster, dimension,
-count).  Clusters of equal profile are interchangeable up to their tie-breaker; the greedy runs on the driver
-over profiles with their best candidates, whose number is bounded by ``PROFILES``; above that, an order by
-hash replaces the greedy for the clusters beyond it, and the report says so.
+count).  Clusters of equal profile are interchangeable up to their tie-breaker, so the greedy runs on the driver
+over classes of profiles, one numpy step a pick.  At most ``PROFILES`` clusters are candidates for dev, the largest
+first, then by hash; the others stay in train.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,65 +34,75 @@ def choose_dev(profile: list[tuple[str, dict[str, int], int]], fraction: float,
     its dimensions keeps a cluster in train; then clusters are added while that brings the rows nearer to the target, each
     time the one that fills most open need with least oversupply and overshoot.
     """
-    tie = {c: tie_breaker(seed, c) for c, _, _ in profile}
     total = sum(n for _, _, n in profile)
     if not total:
         return set(), set()
     goal = max(1, round(total * fraction))
-    need, left = Counter(), Counter()
-    for _, dims, _ in profile:
-        need.update(dims)
-        left.update(dims.keys())
-    target = {d: n * fraction for d, n in need.items()}
-    pool = {c: (dims, n) for c, dims, n in profile}
+    # clusters with equal counts per dimension differ in their tie-breaker only: a class is a stack, the best on top
+    stacks: dict[tuple, list[tuple[int, str]]] = {}
+    for c, dims, _ in profile:
+        stacks.setdefault(tuple(sorted(dims.items())), []).append((-tie_breaker(seed, c), c))
+    for stack in stacks.values():
+        stack.sort()
+    names = sorted({d for _, dims, _ in profile for d in dims})
+    at = {d: i for i, d in enumerate(names)}
+    counts = np.zeros((len(stacks), len(names)))
+    for k, key in enumerate(stacks):
+        for d, n in key:
+            counts[k, at[d]] = n
+    pools = list(stacks.values())
+    size, has = counts.sum(1), counts > 0
+    many = np.array([len(p) for p in pools])
+    target = (counts * many[:, None]).sum(0) * fraction
+    left = (has * many[:, None]).sum(0)
+    base, held = np.maximum(target, 1e-9), np.zeros(len(names))
     dev: set[str] = set()
-    held: Counter[str] = Counter()
-    rows = 0
-
-    def move(c: str) -> None:
-        nonlocal rows
-        dims, n = pool.pop(c)
-        dev.add(c)
-        held.update(dims)
-        rows += n
-
-    open_ = set(need)
-    while open_:
-        fits = [
-            (len(hit) / max(math.sqrt(n), 1.0), len(hit), -n, -tie[c], c)
-            for c, (dims, n) in pool.items()
-            if (hit := open_ & dims.keys()) and all(left[d] > 1 for d in dims)
-        ]
-        if not fits:
+    rows = 0.0
+
+    def best(*keys: np.ndarray) -> int:
+        """The class with a cluster left that is largest by the keys, then by its top cluster's tie-breaker."""
+        hit = np.flatnonzero(many > 0)
+        for key in keys:
+            hit = hit[key[hit] == key[hit].max()]
+        return max(hit, key=lambda k: pools[k][-1])
+
+    def move(k: int) -> None:
+        nonlocal rows, held
+        dev.add(pools[k].pop()[1])
+        many[k] -= 1
+        rows += size[k]
+        held = held + counts[k]
+
+    open_ = np.ones(len(names), bool)
+    while open_.any():
+        hits = (has & open_).sum(1).astype(float)
+        fits = (hits > 0) & ~(has & (left <= 1)).any(1) & (many > 0)
+        if not fits.any():
             break
-        best = max(fits)[-1]
-        dims = pool[best][0]
-        move(best)
-        open_ -= dims.keys()
-        left.subtract(dims.keys())
-    while pool and rows < goal:
-        scores = []
-        for c, (dims, n) in pool.items():
-            gain = 0.0
-            for d, k in dims.items():
-                lack, base = max(target[d] - held[d], 0.0), max(target[d], 1e-9)
-                gain += min(float(k), lack) / base - 0.20 * (max(float(k) - lack, 0.0) / base)
-            gain -= 2.0 * max(rows + n - goal, 0) / max(goal, 1)
-            scores.append((gain, -abs(goal - rows - n), -tie[c], c))
-        best = max(scores)[-1]
-        if rows and abs(goal - rows) <= abs(goal - rows - pool[best][1]):
+        k = best(np.where(fits, hits / np.maximum(np.sqrt(size), 1), -np.inf), hits, -size)
+        move(k)
+        open_ &= ~has[k]
+        left = left - has[k]
+    lack = np.maximum(target - held, 0)
+    gains = (np.minimum(counts, lack) - 0.20 * np.maximum(counts - lack, 0)) / base
+    while (many > 0).any() and rows < goal:
+        over = 2.0 * np.maximum(rows + size - goal, 0) / max(goal, 1)
+        k = best(gains.sum(1) - over, -np.abs(goal - rows - size))
+        if rows and abs(goal - rows) <= abs(goal - rows - size[k]):
             break
-        move(best)
+        move(k)
+        d = np.flatnonzero(has[k])  # only these dimensions' needs have changed
+        lack[d] = np.maximum(target[d] - held[d], 0)
+        gains[:, d] = (np.minimum(counts[:, d], lack[d]) - 0.20 * np.maximum(counts[:, d] - lack[d], 0)) / base[d]
     if not dev:
-        dev.add(min(profile, key=lambda p: (p[2], tie[p[0]]))[0])
-    return dev, open_
+        dev.add(min(profile, key=lambda p: (p[2], tie_breaker(seed, p[0])))[0])
+    return dev, {names[i] for i in np.flatnonzero(open_)}
 
 
 def train_dev_split(rows: DataFrame, cluster: str = "story_cluster_id", dimension: str = "dimension", fraction: float = 0.10, seed: int = 42) -> DataFrame:
     """The rows with ``split``: ``dev`` for rows of dev clusters, else ``train``; rows without a cluster are ``train``.
 
-    Clusters of one row and one dimension are interchangeable up to their hash.  They are handed to the greedy in
-    that order and only as many per dimension as the dev set could take, so what the driver holds does not grow with them.
+    The fraction refers to the rows of the candidate clusters (see ``PROFILES``).
     """
     profile = cut(cluster_profile(rows.where(F.col(cluster).isNotNull()), F.col(cluster), F.coalesce(F.col(dimension), F.lit("missing"))))
     kept = profile.orderBy(F.desc("rows"), F.xxhash64("cluster"), "cluster").limit(PROFILES)
