@@ -1,74 +1,72 @@
 """A dimension-aware train and dev split that keeps story clusters whole.
 
 The choice is sequential and looks at clusters only, so rows are first aggregated to (cluster, dimension,
-count).  Clusters of equal profile are interchangeable up to their tie-breaker, so the greedy runs on the driver
-over classes of profiles, one numpy step a pick.  At most ``PROFILES`` clusters are candidates for dev, the largest
-first, then by hash; the others stay in train.
+count).  Clusters of equal profile are interchangeable up to their tie-breaker, so Spark counts the clusters of every
+profile and ranks them by tie-breaker; the greedy runs on the driver over the classes of all profiles, one numpy step
+a pick, and the picked ranks are joined back.  The driver holds one row per distinct profile and, where classes tie, the
+tie-breakers it has come to, never the clusters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import tie_breaker
-from sievework.session import cut
-
-#: Cluster profiles the driver looks at.  A 10 % dev set needs few clusters; the smallest by hash of each size are kept.
-PROFILES = 200_000
+from sievework.operators.sampling import ranked_in
+from sievework.session import cut, written
 
 
 def cluster_profile(rows: DataFrame, cluster: Column, dimension: Column) -> DataFrame:
-    """``(cluster, dims map<dimension, rows>, rows)``."""
+    """``(cluster, dims array<struct<dimension, n>>, class)``: equal profiles have the same class."""
     n = rows.groupBy(cluster.alias("cluster"), dimension.alias("dimension")).agg(F.count("*").alias("n"))
-    return n.groupBy("cluster").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "n")))).alias("dims"), F.sum("n").alias("rows")
-    )
+    per = n.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dimension", "n"))).alias("dims"))
+    return per.withColumn("class", F.xxhash64("dims"))
 
 
-def choose_dev(profile: list[tuple[str, dict[str, int], int]], fraction: float, seed: int) -> tuple[set[str], set[str]]:
-    """Dev clusters and the dimensions that can't be in dev without leaving train.
+def choose_dev(
+    classes: list[tuple[dict[str, int], int]], fraction: float, stay: dict[str, int], first: Callable[[list[int], np.ndarray], int]
+) -> tuple[np.ndarray, set[str]]:
+    """How many clusters of each class go to dev, and the dimensions that can't be in dev without leaving train.
 
-    First every dimension is covered by the cluster with the best coverage per square root of its rows, as long as each of
-    its dimensions keeps a cluster in train; then clusters are added while that brings the rows nearer to the target, each
-    time the one that fills most open need with least oversupply and overshoot.
+    ``classes`` has the rows per dimension of a cluster and the number of such clusters, ``stay`` the rows per dimension that
+    belong to no cluster and stay in train; ``first`` names, of classes and the picks so far, the class whose next cluster
+    has the best tie-breaker.  First every dimension is covered by the cluster with the best coverage per square root of its
+    rows, as long as each of its dimensions keeps a cluster in train; then clusters are added while that brings the rows
+    nearer to the target, each time the one that fills most open need with least oversupply and overshoot.
     """
-    total = sum(n for _, _, n in profile)
-    if not total:
-        return set(), set()
-    goal = max(1, round(total * fraction))
-    # clusters with equal counts per dimension differ in their tie-breaker only: a class is a stack, the best on top
-    stacks: dict[tuple, list[tuple[int, str]]] = {}
-    for c, dims, _ in profile:
-        stacks.setdefault(tuple(sorted(dims.items())), []).append((-tie_breaker(seed, c), c))
-    for stack in stacks.values():
-        stack.sort()
-    names = sorted({d for _, dims, _ in profile for d in dims})
+    picks = np.zeros(len(classes), np.int64)
+    names = sorted({d for dims, _ in classes for d in dims} | set(stay))
+    if not classes:
+        return picks, set(names)
     at = {d: i for i, d in enumerate(names)}
-    counts = np.zeros((len(stacks), len(names)))
-    for k, key in enumerate(stacks):
-        for d, n in key:
+    counts, fixed = np.zeros((len(classes), len(names))), np.array([float(stay.get(d, 0)) for d in names])
+    for k, (dims, _) in enumerate(classes):
+        for d, n in dims.items():
             counts[k, at[d]] = n
-    pools = list(stacks.values())
     size, has = counts.sum(1), counts > 0
-    many = np.array([len(p) for p in pools])
-    target = (counts * many[:, None]).sum(0) * fraction
-    left = (has * many[:, None]).sum(0)
+    many = np.array([n for _, n in classes])
+    whole = (counts * many[:, None]).sum(0) + fixed
+    goal = max(1, round(whole.sum() * fraction))
+    target = whole * fraction
+    left = (has * many[:, None]).sum(0) + fixed
     base, held = np.maximum(target, 1e-9), np.zeros(len(names))
-    dev: set[str] = set()
     rows = 0.0
 
     def best(*keys: np.ndarray) -> int:
-        """The class with a cluster left that is largest by the keys, then by its top cluster's tie-breaker."""
+        """The class with a cluster left that is largest by the keys, then by its next cluster's tie-breaker."""
         hit = np.flatnonzero(many > 0)
         for key in keys:
             hit = hit[key[hit] == key[hit].max()]
-        return max(hit, key=lambda k: pools[k][-1])
+        return int(hit[0]) if len(hit) == 1 else first(hit.tolist(), picks)
 
     def move(k: int) -> None:
         nonlocal rows, held
-        dev.add(pools[k].pop()[1])
+        picks[k] += 1
         many[k] -= 1
         rows += size[k]
         held = held + counts[k]
@@ -94,21 +92,54 @@ def choose_dev(profile: list[tuple[str, dict[str, int], int]], fraction: float,
         d = np.flatnonzero(has[k])  # only these dimensions' needs have changed
         lack[d] = np.maximum(target[d] - held[d], 0)
         gains[:, d] = (np.minimum(counts[:, d], lack[d]) - 0.20 * np.maximum(counts[:, d] - lack[d], 0)) / base[d]
-    if not dev:
-        dev.add(min(profile, key=lambda p: (p[2], tie_breaker(seed, p[0])))[0])
-    return dev, {names[i] for i in np.flatnonzero(open_)}
+    return picks, {names[i] for i in np.flatnonzero(open_)}
+
+
+def _members(profile: DataFrame, seed: int) -> DataFrame:
+    """``(cluster, class, tie, r)``: every cluster's tie-breaker in hexadecimal and its rank in its class."""
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ties = [f"{tie_breaker(seed, c):016x}" for c in b.column("cluster").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("class"), pa.array(ties, pa.string())], names=["cluster", "class", "tie"])
+
+    with_ties = profile.select("cluster", "class").mapInArrow(tied, "cluster string, class bigint, tie string")
+    return written(ranked_in(with_ties, "class", F.concat("tie", "cluster")), "members")
+
+
+def _first(members: DataFrame, ids: list[int]) -> Callable[[list[int], np.ndarray], int]:
+    """Compares the next tie-breakers of classes; they are read from the members as the greedy uses them up."""
+    held: list[list[str]] = [[] for _ in ids]
+    at = {c: k for k, c in enumerate(ids)}
+
+    def first(hit: list[int], picks: np.ndarray) -> int:
+        if any(picks[k] >= len(held[k]) for k in hit):
+            low = [(c, len(held[k]), max(16, 4 * int(picks[k]))) for k, c in enumerate(ids) if len(held[k]) <= 2 * picks[k]]
+            asked = members.sparkSession.createDataFrame(low, "class bigint, lo bigint, hi bigint")
+            got = members.join(F.broadcast(asked), "class").where("r >= lo AND r < hi").select("class", "r", "tie").toArrow()
+            for c, _, t in sorted(zip(*(got.column(i).to_pylist() for i in range(3)))):
+                held[at[c]].append(t)
+        return min(hit, key=lambda k: held[k][picks[k]])
+
+    return first
 
 
 def train_dev_split(rows: DataFrame, cluster: str = "story_cluster_id", dimension: str = "dimension", fraction: float = 0.10, seed: int = 42) -> DataFrame:
     """The rows with ``split``: ``dev`` for rows of dev clusters, else ``train``; rows without a cluster are ``train``.
 
-    The fraction refers to the rows of the candidate clusters (see ``PROFILES``).
+    The fraction refers to all rows, with or without a cluster.
     """
-    profile = cut(cluster_profile(rows.where(F.col(cluster).isNotNull()), F.col(cluster), F.coalesce(F.col(dimension), F.lit("missing"))))
-    kept = profile.orderBy(F.desc("rows"), F.xxhash64("cluster"), "cluster").limit(PROFILES)
-    chosen, _ = choose_dev([(r["cluster"], dict(r["dims"]), r["rows"]) for r in kept.collect()], fraction, seed)
-    dev = rows.sparkSession.createDataFrame([(c,) for c in sorted(chosen)], f"{cluster} string").withColumn("split", F.lit("dev"))
-    return rows.join(F.broadcast(dev) if len(chosen) < 100_000 else dev, cluster, "left").fillna("train", ["split"])
+    spark = rows.sparkSession
+    named = F.coalesce(F.col(dimension), F.lit("missing"))
+    profile = cut(cluster_profile(rows.where(F.col(cluster).isNotNull()), F.col(cluster), named))
+    members = _members(profile, seed)
+    found = profile.groupBy("class").agg(F.first("dims").alias("dims"), F.count("*").alias("n")).orderBy("class").collect()
+    stay = {r[0]: r[1] for r in rows.where(F.col(cluster).isNull()).groupBy(named).count().collect()}
+    ids = [r["class"] for r in found]
+    picks, _ = choose_dev([({d: n for d, n in r["dims"]}, r["n"]) for r in found], fraction, stay, _first(members, ids))
+    chosen = spark.createDataFrame([(c, int(n)) for c, n in zip(ids, picks) if n], "class bigint, picks bigint")
+    dev = cut(members.join(F.broadcast(chosen), "class").where("r < picks").select(F.col("cluster").alias(cluster), F.lit("dev").alias("split")))
+    return rows.join(dev, cluster, "left").fillna("train", ["split"])
 
 
 def leakage(split: DataFrame, cluster: str = "story_cluster_id") -> DataFrame:

@@ -91,6 +91,7 @@ def audit(outputs: dict[str, DataFrame], config: PrepareConfig) -> dict:
         raise AssertionError(f"{both} story clusters stand in train and dev")
     reasons = outputs["rejected"].select(F.explode("reasons").alias("r")).groupBy("r").count().collect()
     status = outputs["public_review"].unionByName(outputs["public_safe"], allowMissingColumns=True).groupBy("status").count().collect()
+    absent = outputs["train"].select("dimension").distinct().join(outputs["dev"].select("dimension").distinct(), "dimension", "left_anti").collect()
     dims = outputs["train_balanced"].groupBy("dimension").count().agg(F.count("*"), F.min("count"), F.max("count")).first()
     return {
         "config": asdict(config),
@@ -99,6 +100,7 @@ def audit(outputs: dict[str, DataFrame], config: PrepareConfig) -> dict:
         "label_status": {r[0]: r[1] for r in sorted(status)},
         "balanced": {"dimensions": dims[0], "min": dims[1], "max": dims[2]},
         "cluster_overlap": both,
+        "dimensions_not_in_dev": sorted(r[0] for r in absent),
     }
 
 

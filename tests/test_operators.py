@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions import text
 from sievework.operators import clusters, compare, evalgrid, labels, manifest, quality, sampling, split, training
 
 LOG = (
@@ -145,6 +146,23 @@ def test_split_keeps_clusters_and_covers_dimensions(spark):
     assert split.train_dev_split(df.where("false")).count() == 0
 
 
+def test_split_looks_at_every_cluster(spark, monkeypatch):
+    monkeypatch.setattr(split, "PROFILES", 20, raising=False)  # the former cap on candidates
+    rows = [(f"big{i}", "x") for i in range(20) for _ in range(3)] + [(f"small{i}", "xyz"[i % 3]) for i in range(540)] + [(None, "x")] * 100
+    out = split.train_dev_split(spark.createDataFrame(rows, "story_cluster_id string, dimension string"))
+    dev = out.where("split = 'dev'").collect()
+    assert len(dev) == 70 and {r["dimension"] for r in dev} == {"x", "y", "z"} and all(r["story_cluster_id"] for r in dev)
+    assert out.count() == 700 and split.leakage(out).count() == 0
+
+
+def test_split_picks_by_tie_breaker(spark):
+    rows = [(f"c{i}", "xy"[i % 2]) for i in range(200)]
+    out = split.train_dev_split(spark.createDataFrame(rows, "story_cluster_id string, dimension string"), fraction=0.5)
+    dev = {r["story_cluster_id"] for r in out.where("split = 'dev'").collect()}
+    best = [sorted((c for c, d in rows if d == x), key=lambda c: text.tie_breaker(42, c))[:50] for x in "xy"]
+    assert dev == {*best[0], *best[1]}
+
+
 def test_balance_and_quotas(spark):
     df = spark.createDataFrame([("s0", "a")] + [(f"t{i}", "b") for i in range(5)], "sample_id string, dimension string")
     out = sampling.balanced(df, "dimension", "sample_id", 3).collect()
