@@ -415,9 +415,16 @@ def bucket_budgets(spark, sf):
     return sampling.largest_remainder(shares, 2983)
 
 
+def _meanings(spark, sf):
+    """``(sample_id, meaning)``: of a sample's first record whose gold letter has a meaning."""
+    records = table(spark, sf, "train_records")
+    m = labels.yes_no_meaning(records, last_content(F.col("messages"), "user"), letters_az(F.col("gold_letters")), "_source_line")
+    m = records.select("_source_line", "sample_id").join(m.where("meaning IS NOT NULL"), "_source_line")
+    return m.groupBy("sample_id").agg(F.min_by("meaning", "_source_line").alias("meaning"))
+
+
 def _calibration(spark, sf):
-    rows = _plain_split_rows(spark, sf).withColumn("meaning", F.when(F.col("gold_letters")[0] == "C", "uncertain"))
-    return sampling.calibration_mix(rows)
+    return sampling.calibration_mix(_plain_split_rows(spark, sf).join(_meanings(spark, sf), "sample_id", "left"))
 
 
 @query

@@ -177,6 +177,19 @@ def test_balance_and_quotas(spark):
         sampling.balance_target(counts, 0)
 
 
+def test_calibration_takes_uncertain_by_meaning(spark, tmp_path):
+    from sievework.plans.queries import QUERIES
+
+    items = [("s1", ("是", "否", "无法确定"), "C"), ("s2", ("证据不足", "是", "否"), "C"), ("s3", ("无法判断", "否", "是"), "A"), ("s4", ("是", "否", "也许"), "C")]
+    prompt = lambda o: "问题：是吗？\n选项：\n" + "\n".join(f"{x}. {t}" for x, t in zip("ABC", o))
+    records = [(i, s, [g], [("user", prompt(o)), ("assistant", "好")]) for i, (s, o, g) in enumerate(items)]
+    spark.createDataFrame(records, "_source_line bigint, sample_id string, gold_letters array<string>, messages array<struct<role: string, content: string>>").write.parquet(f"{tmp_path}/train_records.parquet")
+    rows = [(i, s, f"c{i}", "1.1.1", "Q3", [g]) for i, (s, _, g) in enumerate(items)]
+    spark.createDataFrame(rows, "split_row_id bigint, sample_id string, story_cluster_id string, dimension string, question_type string, gold_letters array<string>").write.parquet(f"{tmp_path}/split_rows.parquet")
+    out = QUERIES["calibration_mix"](spark, str(tmp_path)).where("bucket = 'q3_uncertain'")
+    assert {r["sample_id"] for r in out.collect()} == {"s1", "s3"}
+
+
 def test_waterfill_equals_a_greedy(spark):
     import hashlib
 
