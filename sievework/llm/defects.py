@@ -40,13 +40,18 @@ _ENDED = re.compile(r"[。！？!?.…}>][”’」』\"')）\s]*$")
 _WORD_CHARS = re.compile(r"[^\W_]")
 _QUOTED = re.compile(r"“[^”]*(?:”|$)|「[^」]*(?:」|$)|\"[^\"\n]*(?:\"|$)")
 _LETTERS = r"[A-ZＡ-ＺΑ-ΩА-ЯᎠ-Ᏼ]"
-_ANSWERS = re.compile(
-    rf"(?:答案|选项|应选|因此选|选择|故选|所以选|应该选|选)(?:应该|应当|应)?(?:是|为|：|:|\s)*{_LETTERS}(?![a-z])"
-    rf"|\b(?:[Aa]nswers?|[Oo]ptions?|[Cc]hoices?|[Cc]hoose|[Ss]elect|[Pp]ick)\b[^.!?\n]{{0,24}}?(?<![A-Za-z]){_LETTERS}(?![A-Za-z])"
+# A lone I or A is mostly the pronoun or the article: it counts with a stop, another letter or a reason after it, A also right after the cue.
+_AFTER = rf"(?=\s*(?:[.,;:!?)\]}}*\"”]|$)|\s+(?:and|or)\s+{_LETTERS}(?![A-Za-z'’])|\s+(?:because|since|as|is)\b)"
+_ANSWERS = re.compile(rf"(?:答案|选项|应选|因此选|选择|故选|所以选|应该选|选)(?:应该|应当|应)?(?:是|为|：|:|\s)*{_LETTERS}(?![a-z])")
+_ENGLISH_ANSWERS = re.compile(
+    rf"\b(?:[Aa]nswers?|[Oo]ptions?|[Cc]hoices?|[Cc]hoose|[Ss]elect|[Pp]ick)\b"
+    rf"(?=\s+A(?![A-Za-z'’])|[^.!?\n]{{0,24}}?(?<![A-Za-z])(?:(?![AI]){_LETTERS}(?![A-Za-z])|A{_AFTER})|[^.!?\n]{{0,24}}?(?<![A-Za-z])(?P<i>I){_AFTER})"
 )
+_TURN = re.compile(r"\b(?:but|so|therefore|hence|thus)\b|但|所以|因此|综上")
 _BARE = re.compile(rf"^\W*{_LETTERS}(?:\W*(?:和|与|及|and)?\W*{_LETTERS})*\W*$")
 _MARK = re.compile(r"^\W*[A-Z]\s*[.．)）、:：]\W*$")
 _OPTION = re.compile(r"^\W*[A-Z]\s*[.．)）、:：]\s*\w")
+_OPTION_LETTER = re.compile(r"^\s*([A-Z])\s*[.．、)）:：]", re.M)
 _FINAL_WORD = re.compile(r"^\W*(?:是|否|无法确定|信息不足|证据不足|无法判断|yes|no|cannot be determined)\W*$", re.I)
 # Wordings by which an answer is declined.
 _DECLINES = re.compile(
@@ -136,12 +141,27 @@ def clauses(answer: str) -> list[str]:
     return out
 
 
+def _answers(clause: str, letters: set[str]) -> bool:
+    """Whether wording outside quotes names a final letter; the parts of the clause that decline don't.
+
+    ``letters`` are the question's option letters: I is a letter only if it is one of them.
+    """
+    parts = _TURN.split(clause) if _DECLINES.search(clause) else [clause]
+    for part in parts:
+        if _DECLINES.search(part):
+            continue
+        if _ANSWERS.search(part) or any(not m["i"] or "I" in letters for m in _ENGLISH_ANSWERS.finditer(part)):
+            return True
+    return False
+
+
 def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Features (clauses by cues) and the letters of each clause."""
     parts = clauses(answer)
     user = question or ""
     plain_user = _PLAIN.sub("", user)
     language = _language(user)
+    letters = set(_OPTION_LETTER.findall(user))
     names = set(_LATIN_WORD.findall(user)) - _ENGLISH
     if language == "en":
         names = {n for n in names if n[:1].isupper()}
@@ -157,7 +177,7 @@ def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
         plain = _PLAIN.sub("", c)
         size[i] = len(plain)
         bare = _QUOTED.sub("", c)
-        answers = bool(_BOX.search(c)) or bool(_ANSWERS.search(bare)) or bool(_BARE.match(c)) or (i == last and bool(_FINAL_WORD.match(c)))
+        answers = bool(_BOX.search(c)) or _answers(bare, letters) or bool(_BARE.match(c)) or (i == last and bool(_FINAL_WORD.match(c)))
         if len(plain) >= 24:
             pieces = [plain[k : k + 8] for k in range(0, len(plain) - 7, 8)]
             echo = sum(p in plain_user for p in pieces) / len(pieces)

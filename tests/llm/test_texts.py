@@ -137,6 +137,21 @@ def test_defects(spark):
     assert sum(r["rows"] for r in defects.report(df).collect()) == len(rows)
 
 
+@pytest.mark.parametrize("answer, final", [
+    ("I'm sorry, but I am not able to answer that, and I hope you understand.", False),
+    ("He has to choose what I would have taken from the", False),
+    ("I can't choose B.", False),
+    ("I cannot see another reading, so the answer is B.", True),
+    ("The answer is A because nobody saw it.", True),
+    ("I pick options A and B.", True),
+    ("We choose A here.", True),
+    ("所以答案是B。", True),
+])
+def test_pronoun_and_refusal_are_no_answer(answer, final):
+    question = "Story: He put it away.\nOptions:\nA. yes\nB. no"
+    assert bool(defects.cues(answer, question)[0][:, 15].any()) is final
+
+
 def test_crf_learns_and_generalises():
     """Held-out accuracy on chains whose emissions alone are ambiguous."""
     rng = np.random.default_rng(0)
