@@ -1,21 +1,19 @@
 """Problem 8: mixing sources to target weights.
 
 Poisson replication: every distinct text of a source is repeated by a draw from a Poisson distribution whose
-mean is the source's repetition rate, inverted from a hash-seeded uniform number and truncated at
-``max_repeats``; the mean of the truncated distribution is fitted to the rate, then moved by up to a
-third to where the source's actual draws come closest to its share (one aggregate over all texts).  The uniform numbers are hash-seeded
-and spread over the source's texts in order of size (a golden-ratio sequence), so that long and short texts
-are repeated alike and the shares come out close.  Texts are exploded by their counts and put in one global order
-by hash.
+mean is the source's repetition rate, inverted from a uniform number hashed from seed and text and truncated at
+``max_repeats``; the parameter is chosen so that the truncated distribution has the rate as its expectation.  Texts are
+exploded by their counts and put in one global order by hash.
 
-The mix is as large as the targets allow: the scarcest source that has any text is used
-``max_repeats`` times throughout, others less.  A smaller or larger size can be asked for; sources that can't
-reach it stay below their share, as the report tells.
+The mix is as large as the texts of all target sources together, or as asked for.  A source's wanted tokens are its share of
+that; one that is too small is used up to its cap and stays below, and the report tells how many tokens it lacks.  No source
+changes the size of the mix or the draws of another.
 
 Defined results: sources that differ in case, surrounding blanks or ``-`` for ``_`` are one; null and other
 sources take no part.  A text that is repeated, within a source or over several, is one text, of the source of its
 smallest ``doc_id``, so it never stands more than ``max_repeats`` times in the mix.  Null and empty texts are left out.  A
-target without texts is reported with a share of 0.
+target without texts is reported with a share of 0.  A source named by several targets has the sum of their shares and the
+largest of their caps.
 """
 
 from __future__ import annotations
@@ -27,11 +25,9 @@ from pyspark.sql import functions as F
 
 from sievework.functions.values import strip
 from sievework.llm.tokens import VOCABULARY, counted
-from sievework.session import cut, ranked
+from sievework.session import cut, ranked, written
 
 SEED = 29
-_STEP = (5**0.5 - 1) / 2
-_FACTORS = [round(1.012**i, 6) for i in range(-30, 31)]
 
 
 def _name(column: str):
@@ -72,52 +68,43 @@ def _sources(targets: DataFrame) -> DataFrame:
 
 
 def _mix(documents: DataFrame, targets: DataFrame, total: int | None, vocabulary: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The drawn texts with their ``times``, and per target source ``(source, target_permille, max_repeats, wanted)``."""
     spark = documents.sparkSession
-    goals = {r[0]: (r[1], r[2]) for r in _sources(targets).collect()}
+    goals = {r[0]: (r[1], r[2]) for r in _sources(targets).collect()}  # one row per target
     rows = counted(documents, vocabulary).where("tokens > 0").withColumn("source", _name("source"))
     rows = rows.where(F.col("source").isin(*goals))
     texts = rows.groupBy("k").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("t")).select("k", "t.*")
-    texts = ranked(
-        texts.withColumn("h", F.xxhash64(F.lit(seed), "k")), [F.col("source"), F.col("tokens"), F.col("h"), F.col("k")]
-    )
+    texts = written(texts, "texts")
     have = {r[0]: r[1] for r in texts.groupBy("source").agg(F.sum("tokens")).collect()}
     whole = sum(p for p, _ in goals.values()) or 1
-    if total is None:
-        total = min((have[s] * cap * whole / p for s, (p, cap) in goals.items() if have.get(s)), default=0)
+    size = sum(have.values()) if total is None else total
     plan = []
     for s, (p, cap) in sorted(goals.items()):
-        rate = min(total * p / whole / have[s], cap) if have.get(s) else 0.0
-        plan.append((s, float(total * p / whole), [thresholds(min(rate * f, cap), cap) for f in _FACTORS]))
-    plan = spark.createDataFrame(plan, "source string, wanted double, cdfs array<array<double>>")  # one row per target
-    offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 20)) / float(1 << 20)
-    texts = texts.withColumn("u", (F.col("rank") * F.lit(_STEP) + offset) % 1).join(F.broadcast(plan), "source")
-
-    def times(cdf):
-        return F.size(F.filter(cdf, lambda c: c <= F.col("u")))
-
-    # of the means near the rate, the one whose draws come closest to the wanted tokens
-    reached = texts.groupBy("source").agg(
-        F.first("wanted").alias("wanted"), *(F.sum(F.col("tokens") * times(F.col("cdfs")[i])).alias(f"t{i}") for i in range(len(_FACTORS)))
-    )
-    off = F.array(*(F.struct(F.abs(F.col(f"t{i}") - F.col("wanted")).alias("off"), F.lit(abs(f - 1)).alias("far"), F.lit(i).alias("i")) for i, f in enumerate(_FACTORS)))
-    best = reached.select("source", F.array_min(off)["i"].alias("best"))
-    drawn = texts.join(F.broadcast(best), "source").withColumn("times", times(F.get("cdfs", F.col("best")))).where("times > 0").drop("cdfs")
-    return drawn.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("times")))), _sources(targets)
+        wanted = size * p / whole
+        plan.append((s, p, cap, float(wanted), thresholds(min(wanted / have[s], cap), cap) if have.get(s) else []))
+    plan = spark.createDataFrame(plan, "source string, target_permille bigint, max_repeats int, wanted double, cdf array<double>")  # one row per target
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "k"), 11) / float(1 << 53)
+    drawn = texts.withColumn("u", u).join(F.broadcast(plan.select("source", "cdf")), "source")
+    drawn = drawn.withColumn("times", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("times > 0")
+    return drawn.select("k", "doc_id", "source", "tokens", "times"), plan.drop("cdf")
 
 
 def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
     """``(position, source, doc_id, repeat_no, tokens)``: the mix in its global order."""
-    drawn, _ = _mix(documents, targets, total, vocabulary, seed)
+    drawn = _mix(documents, targets, total, vocabulary, seed)[0].withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("times"))))
     order = drawn.select("source", "doc_id", "repeat_no", "tokens", F.xxhash64(F.lit(seed + 1), "k", "repeat_no").alias("o"))
     placed = ranked(order, [F.col("o"), F.col("doc_id"), F.col("repeat_no")], "position")
     return placed.select("position", "source", "doc_id", "repeat_no", "tokens")
 
 
 def report(documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
-    """Per target source: wanted and reached permille of all tokens, texts, uses and the most uses of one text."""
+    """Per target source: wanted and reached permille of all tokens, texts, uses, the most uses of one text, and lacking tokens.
+
+    ``lacking_tokens`` is what the source has too few of even if every text is used ``max_repeats`` times or as drawn.
+    """
     drawn, goals = _mix(documents, targets, total, vocabulary, seed)
     per = drawn.groupBy("source").agg(
-        F.count_distinct("k").alias("texts"), F.count("*").alias("uses"), F.max("times").alias("most_uses"), F.sum("tokens").alias("tokens")
+        F.count("*").alias("texts"), F.sum("times").alias("uses"), F.max("times").alias("most_uses"), F.sum(F.col("tokens") * F.col("times")).alias("tokens")
     )
     per = cut(goals.join(per, "source", "left").fillna(0, ["texts", "uses", "most_uses", "tokens"]))
     total_tokens = per.agg(F.sum("tokens").alias("all_tokens"))
@@ -130,4 +117,11 @@ def report(documents: DataFrame, targets: DataFrame, total: int | None = None, v
         "most_uses",
         "max_repeats",
         "tokens",
+        F.greatest(F.lit(0), F.round(F.col("wanted") - F.col("tokens"))).cast("bigint").alias("lacking_tokens"),
     )
+
+
+def caps(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per target source: its share and cap, and whether the cap is kept."""
+    r = report(documents, targets)
+    return r.select("source", "target_permille", "max_repeats", (F.col("most_uses") <= F.col("max_repeats")).alias("kept"))

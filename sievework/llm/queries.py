@@ -39,6 +39,7 @@ QUERIES: dict[str, Query] = {
     "p7_packing_report": _on(packing.report, "documents", "pack_limits"),
     "p8_mix": _on(mixing.mixed, "documents", "mix_targets"),
     "p8_share_report": _on(mixing.report, "documents", "mix_targets"),
+    "p8_caps": _on(mixing.caps, "documents", "mix_targets"),
     "p9_found": _on(spans.found, "documents"),
     "p9_shared_report": _on(spans.report, "documents"),
 }
@@ -114,6 +115,8 @@ v AS (SELECT sample_id, 'question_type' AS f, question_type AS x FROM k UNION AL
 c AS (SELECT f, x, count(DISTINCT sample_id) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT count(DISTINCT sample_id) // 10 AS size FROM k),
 t AS (SELECT target_id, field_name AS f, CASE WHEN field_name = 'gold_letters' THEN {_letter_set("string_split(field_value, ',')")} ELSE {_category('field_value')} END AS x, target_permille, min_rows FROM sample_targets)
 SELECT target_id FROM t LEFT JOIN c USING (f, x), z WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 1000 < target_permille * size""",
+    "p8_caps": f"""SELECT replace(lower({_strip('source')}), '-', '_') AS source, sum(target_permille)::BIGINT AS target_permille, max(max_repeats) AS max_repeats, true AS kept
+FROM mix_targets WHERE target_permille > 0 AND max_repeats > 0 GROUP BY 1""",
     "p9_found": f"""WITH {_SHARED} SELECT doc_id, span_start, span_chars FROM spans""",
     "p9_shared_report": f"""WITH {_SHARED}, d AS (SELECT doc_id, max(coalesce(length(text), 0)) AS chars FROM documents GROUP BY doc_id),
 p AS (SELECT doc_id, sum(span_chars)::BIGINT AS shared_chars, count(*) AS spans FROM spans GROUP BY doc_id)
