@@ -6,9 +6,11 @@ import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework.functions.values import MISSING
 from sievework.llm import cube, defects, groupsplit, mixing, nearjoin, overlap, packing, spans, visual
+from sievework.operators.evalgrid import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +36,7 @@ QUERIES: dict[str, Query] = {
     "p5_target_report": _on(cube.report, "split_rows", "sample_targets"),
     "p6_found": _on(visual.found, "train_records", "predictions"),
     "p6_message_forms": _on(visual.train_forms, "train_records"),
-    "p6_letter_forms": _on(visual.letter_forms, "predictions"),
+    "p6_letter_forms": _on(lambda p: visual.letter_forms(p).withColumn("forms", text_of(F.col("forms"))), "predictions"),
     "p7_containers": _on(packing.packed, "documents", "pack_limits"),
     "p7_packing_report": _on(packing.report, "documents", "pack_limits"),
     "p8_mix": _on(mixing.mixed, "documents", "mix_targets"),
@@ -93,6 +95,13 @@ near AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >=
 SELECT DISTINCT least(u.line, v.line) AS line_a, greatest(u.line, v.line) AS line_b FROM near JOIN l u ON u.id = a JOIN l v ON v.id = b WHERE u.line <> v.line AND {keep}"""
 
 
+#: Letters written with other characters, and what they stand for: look-alikes, and compatibility forms by Unicode data.
+_LETTER_FORMS = {
+    chr(c): f for c in (*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)) if "A" <= (f := unicodedata.normalize("NFKC", chr(c)).upper()) <= "Z" and len(f) == 1
+} | {k: v.upper() for k, v in visual.FOREIGN.items() if len(v) == 1}
+_UNSEEN = "[" + "".join(rf"\x{{{ord(a):X}}}-\x{{{ord(b):X}}}" for a, b in visual._runs(visual.INVISIBLE)) + "]"
+_BLANKS = r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}]"
+
 #: Every window of 150 characters, those of two documents, and their union per document.
 _SHARED = """w AS (SELECT doc_id, i, hash(substr(text, i + 1, 150)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS i FROM documents WHERE length(text) >= 150)),
 s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), c AS (SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM s)),
@@ -115,6 +124,10 @@ v AS (SELECT sample_id, 'question_type' AS f, question_type AS x FROM k UNION AL
 c AS (SELECT f, x, count(DISTINCT sample_id) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT count(DISTINCT sample_id) // 10 AS size FROM k),
 t AS (SELECT target_id, field_name AS f, CASE WHEN field_name = 'gold_letters' THEN {_letter_set("string_split(field_value, ',')")} ELSE {_category('field_value')} END AS x, target_permille, min_rows FROM sample_targets)
 SELECT target_id FROM t LEFT JOIN c USING (f, x), z WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 1000 < target_permille * size""",
+    "p6_letter_forms": f"""WITH l AS (SELECT prediction_id AS row_id, predicted_letters AS p, list_transform(predicted_letters, lambda v: upper(trim(translate(regexp_replace(regexp_replace(v, '{_UNSEEN}', '', 'g'),
+'{_BLANKS}', ' ', 'g'), '{"".join(_LETTER_FORMS)}', '{"".join(_LETTER_FORMS.values())}')))) AS f FROM predictions)
+SELECT row_id, CASE WHEN p IS NULL THEN '<unparsed>' ELSE '[' || array_to_string(f, ',') || ']' END AS forms,
+coalesce(len(list_filter(p, lambda v: regexp_matches(v, '{_UNSEEN}|{_BLANKS}|[{"".join(_LETTER_FORMS)}]'))) > 0, false) AS changed FROM l""",
     "p8_caps": f"""SELECT replace(lower({_strip('source')}), '-', '_') AS source, sum(target_permille)::BIGINT AS target_permille, max(max_repeats) AS max_repeats, true AS kept
 FROM mix_targets WHERE target_permille > 0 AND max_repeats > 0 GROUP BY 1""",
     "p9_found": f"""WITH {_SHARED} SELECT doc_id, span_start, span_chars FROM spans""",

@@ -3,11 +3,15 @@
 ``canonical`` brings a text to one form: characters that show nothing are removed, every kind of white
 space is mapped to a plain space or line break, look-alikes of other scripts are replaced where
 they stand in for plain writing, then compatibility composition (NFKC), full case folding and
-NFKC once more.  ``disguised`` says whether a text holds a character that shows like plain
-writing, or not at all, but is encoded otherwise.
+NFKC once more.
 
-Both work on the distinct values of an Arrow batch.  A regular expression in the JVM passes over texts
-made of plain characters only, so Python sees the few that may need work.
+A text is disguised if that form differs from its plain reading, both before case folding.  The plain reading takes away the
+differences that are no disguise: ordinary line breaks and tabs, the ideographic space, and characters whose compatibility form
+shows otherwise or is ordinary punctuation (see ``plain_difference``).  So a row is reported exactly if bringing it to the one
+form changes more than case and plain differences.
+
+Everything works on the distinct values of an Arrow batch.  A regular expression in the JVM passes over texts
+made of quiet characters only (``SUSPECT``, derived from the rules below), so Python sees the few that may need work.
 
 Look-alikes are judged by their surroundings: a Greek, Cyrillic, Armenian or Cherokee letter is one if its word
 also has Latin letters, or if its word consists of look-alikes only and the text has no other word
@@ -25,6 +29,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,29 +65,38 @@ _OTHER = _chars("251 261 269 370-3FF 400-52F 530-58F 13A0-13FF AB70-ABBF 1F00-1F
 _WORD = re.compile(f"[{_LATIN}{_OTHER}{_chars('300-36F')}]+")
 _HAS_LATIN = re.compile(f"[{_LATIN}]")
 _HAS_FOREIGN = re.compile(f"[{_OTHER}{_chars('131')}]")
-#: Default-ignorable characters and controls that show nothing.
-_INVISIBLE = re.compile(
-    "["
-    + _chars("AD 34F 61C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF0-FFF8")
-    + _chars("1BCA0-1BCA3 1D173-1D17A E0000-E0FFF 0-8 E-1F 7F-84 86-9F")
-    + "]"
-)
+#: Every code point but surrogates, for classes that are derived from Unicode data.
+_EVERY = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+
+
+def _runs(chars: str) -> list[tuple[str, str]]:
+    """Sorted characters as ranges."""
+    out: list[tuple[str, str]] = []
+    for c in chars:
+        if out and ord(c) == ord(out[-1][1]) + 1:
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return out
+
+
+def _class(chars: str, form: str = "%s") -> str:
+    """The inside of a character class of sorted characters."""
+    return "".join("-".join(form % (x if form == "%s" else f"{ord(x):X}") for x in ((a,) if a == b else (a, b))) for a, b in _runs(chars))
+
+
+#: Unicode's default-ignorable characters, and controls that show nothing.
+INVISIBLE = "".join(regex.findall(r"\p{Default_Ignorable_Code_Point}|[\p{Cc}--[\t\n\v\f\r\x85]]", _EVERY, regex.V1))
+_INVISIBLE = re.compile("[" + "".join(f"{a}-{b}" for a, b in _runs(INVISIBLE)) + "]")
 _SPACE = re.compile("[" + _chars("A0 1680 2000-200A 202F 205F") + "]")
 _ODD_BREAK = re.compile("[" + _chars("85 2028-2029") + "]")
 _BREAK = re.compile("\r\n|[\r\x0b\x0c" + _chars("85 2028-2029") + "]")
+_PLAIN_BREAK = re.compile("\r\n|[\r\x0b\x0c]")
+_MAY_DIFFER = re.compile("[^" + _chars("0-7E 4E00-9FFF") + "]")
 _RADICAL = re.compile("[" + _chars("2E80-2FD5") + "]")
 _KANA_LIKE = re.compile("[" + "".join(KANA) + "]")
 _KANA_NEAR = re.compile("[" + _chars("3041-3096 30A1-30FA 30FC-30FE FF66-FF9F") + "]")
 _HAN = re.compile("[" + _chars("3400-4DBF 4E00-9FFF") + "]")
-#: What the JVM lets pass without a look from Python are texts of other characters only.
-SUSPECT = (
-    r"[^\t\n\r -~"
-    + _chars("A1-AC AE-130 132-17E 4E00-9FFF 3000-3029 FF01-FF0F FF1A-FF20 FF3B-FF40 FF5B-FF5E")
-    + _chars("2010-2027 2030-205E AC00-D7A3 3041-3096 FFE0-FFE6")
-    + "]"
-)
-
-
 @lru_cache(8192)
 def _compatible(c: str) -> bool:
     """A single character that shows like plain writing and has a compatibility form of its own."""
@@ -126,55 +140,80 @@ def _lookalikes(text: str) -> dict[int, str]:
     return found
 
 
-def disguised(text: str | None) -> bool:
-    """Whether the text holds a character, or misses a composition, that hides behind plain writing."""
-    if not text or text.isascii() and not _INVISIBLE.search(text):
-        return False
-    if _INVISIBLE.search(text) or _SPACE.search(text) or _ODD_BREAK.search(text) or _RADICAL.search(text):
-        return True
-    if unicodedata.normalize("NFC", text) != text or any(_compatible(c) for c in set(text) if c > "~"):
-        return True
-    return bool(_lookalikes(text))
+def plain_difference(c: str) -> bool:
+    """A character whose compatibility form is no other writing of the same sight, or is ordinary punctuation."""
+    odd = _compatible(c) or _INVISIBLE.match(c) or _SPACE.match(c) or _ODD_BREAK.match(c) or _RADICAL.match(c)
+    return not odd and unicodedata.normalize("NFC", c) == c
 
 
-def canonical(text: str | None) -> str | None:
-    """The one form of a text (see the module)."""
-    if text is None:
-        return None
+@lru_cache(8192)
+def _plain_form(c: str) -> str:
+    return unicodedata.normalize("NFKC", c) if plain_difference(c) else c
+
+
+def plain_reading(text: str) -> str:
+    """The text without its plain differences."""
     if not text.isascii():
+        text = _MAY_DIFFER.sub(lambda m: _plain_form(m.group()), text)
+    return _PLAIN_BREAK.sub("\n", text).replace("\t", " ")
+
+
+def composed(text: str) -> str:
+    """The one form of a text before case folding."""
+    if text.isascii():
+        text = _INVISIBLE.sub("", text)
+    else:
         text = _SPACE.sub(" ", _INVISIBLE.sub("", text))
         if _RADICAL.search(text):
             text = "".join(RADICALS.get(c, c) for c in text)
-        swap = _lookalikes(unicodedata.normalize("NFC", text)) if _HAS_FOREIGN.search(text) or _KANA_LIKE.search(text) else {}
-        if swap:
-            text = "".join(swap.get(i, c) for i, c in enumerate(unicodedata.normalize("NFC", text)))
-        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-    else:
-        text = _INVISIBLE.sub("", text).casefold()
+        if _HAS_FOREIGN.search(text) or _KANA_LIKE.search(text):
+            text = unicodedata.normalize("NFC", text)
+            swap = _lookalikes(text)
+            text = "".join(swap.get(i, c) for i, c in enumerate(text)) if swap else text
+        text = unicodedata.normalize("NFKC", text)
     return _BREAK.sub("\n", text).replace("\t", " ")
 
 
-def _distinct(values: pd.Series, f) -> pd.Series:
-    """f on the distinct values of a series."""
-    codes, known = pd.factorize(values, use_na_sentinel=True)
-    out = [f(v) for v in known] + [f(None)]
-    return pd.Series([out[c] for c in codes], index=values.index)
+def read(text: str | None) -> tuple[str | None, bool]:
+    """The one form of a text, and whether it was disguised."""
+    if text is None:
+        return None, False
+    form = composed(text)
+    odd = form != plain_reading(text)
+    return form.casefold() if form.isascii() else unicodedata.normalize("NFKC", form.casefold()), odd
+
+
+def canonical(text: str | None) -> str | None:
+    """The one form of a text (see the module)."""
+    return read(text)[0]
+
 
+def disguised(text: str | None) -> bool:
+    """Whether the one form differs from the plain reading."""
+    return read(text)[1]
 
-def _disguised_values(values: pd.Series) -> pd.Series:
-    return _distinct(values, disguised).astype(bool)
 
+def _quiet(c: str) -> bool:
+    """A character that can't make a text disguised, whatever stands beside it."""
+    alone = plain_difference(c) and not _compatible(c) and c not in FOREIGN and c not in LATIN_FORMS and c not in KANA
+    joins = unicodedata.category(c)[0] == "M" or unicodedata.combining(c) or "\u1100" <= c <= "\u11ff"
+    return alone and not joins
 
-def _canonical_values(values: pd.Series) -> pd.Series:
-    return _distinct(values, canonical)
 
+#: What the JVM passes over are texts of these characters only: the quiet ones of the blocks that Chinese and English texts use.
+QUIET = "\t\n\r" + "".join(c for a, b in ((0x20, 0x7E), (0xA0, 0x17F), (0x2010, 0x205F), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF00, 0xFFEF)) for c in map(chr, range(a, b + 1)) if _quiet(c))
+SUSPECT = "[^" + _class(QUIET, "\\x{%s}") + "]"
 
-def _disguised(c: str) -> Column:
-    return F.pandas_udf(_disguised_values, "boolean")(c)
+
+def _read_values(values: pd.Series) -> pd.DataFrame:
+    """``read`` on the distinct values of a series."""
+    codes, known = pd.factorize(values, use_na_sentinel=True)
+    forms, odd = zip(*[read(v) for v in known], (None, False))
+    return pd.DataFrame({"form": [forms[c] for c in codes], "changed": [odd[c] for c in codes]}, index=values.index)
 
 
-def _canonical(c: str) -> Column:
-    return F.pandas_udf(_canonical_values, "string")(c)
+def _read(c: str) -> Column:
+    return F.pandas_udf(_read_values, "form string, changed boolean")(c)
 
 
 def _suspect(c: Column) -> Column:
@@ -191,13 +230,17 @@ def _letters(predictions: DataFrame) -> DataFrame:
     return predictions.select(F.col("prediction_id").alias("row_id"), F.posexplode("predicted_letters").alias("letter_no", "value"))
 
 
+def _changed(texts: DataFrame) -> DataFrame:
+    """The rows of ``(row_id, value)`` whose one form differs from the plain reading."""
+    return texts.where(_suspect(F.col("value"))).where(_read("value")["changed"])
+
+
 def found(records: DataFrame, predictions: DataFrame) -> DataFrame:
-    """p6_found: ``(table_name, row_id)`` of all rows that hold a disguised value."""
+    """p6_found: ``(table_name, row_id)`` of all rows with a value that its one form changes."""
     some = records.where(F.exists("messages", lambda m: _suspect(m["content"])))
-    train = _train_texts(some).where(_suspect(F.col("value"))).where(_disguised("value")).select("row_id").distinct()
-    some = predictions.where(F.exists("predicted_letters", _suspect))
-    letters = _letters(some).where(_suspect(F.col("value")))
-    values = letters.select("value").distinct().where(_disguised("value"))  # distinct letters are few
+    train = _changed(_train_texts(some)).select("row_id").distinct()
+    letters = _letters(predictions.where(F.exists("predicted_letters", _suspect)))
+    values = _changed(letters.select("value").distinct())  # distinct letters are few
     pred = letters.join(values, "value").select("row_id").distinct()
     return train.select(F.lit("train_records").alias("table_name"), "row_id").union(
         pred.select(F.lit("predictions").alias("table_name"), "row_id")
@@ -206,12 +249,8 @@ def found(records: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def train_forms(records: DataFrame) -> DataFrame:
     """``(row_id, message_no, form, changed)``: every message in its one form; ``changed`` marks disguised ones."""
-    return _train_texts(records).select(
-        "row_id",
-        F.col("message_no").cast("bigint").alias("message_no"),
-        _canonical("value").alias("form"),
-        F.when(_suspect(F.col("value")), _disguised("value")).otherwise(F.lit(False)).alias("changed"),
-    )
+    read_ = _train_texts(records).withColumn("r", _read("value"))
+    return read_.select("row_id", F.col("message_no").cast("bigint").alias("message_no"), "r.form", "r.changed")
 
 
 def letter_forms(predictions: DataFrame) -> DataFrame:
@@ -221,7 +260,7 @@ def letter_forms(predictions: DataFrame) -> DataFrame:
     """
     letters = _letters(predictions)
     values = letters.select("value").distinct()
-    table = values.select("value", F.upper(F.trim(_canonical("value"))).alias("form"), _disguised("value").alias("odd"))
+    table = values.withColumn("r", _read("value")).select("value", F.upper(F.trim("r.form")).alias("form"), F.col("r.changed").alias("odd"))
     per_row = (
         letters.join(table, "value", "left")
         .groupBy("row_id")
