@@ -4,12 +4,16 @@ Cube method.  Inclusion probabilities are fitted to the targets (iterative propo
 table of category cells, minimums first).  A flight phase then moves them to 0 or 1 along
 directions that keep all category sums:
 
-* inside a partition, units of the same cell are exchanged with each other (their indicators are equal, so all
-  sums stay), which leaves one open unit per cell; open units of one dimension fly on together;
+* inside a part (units with equal hashes, so that neither partitions nor batches decide on the sample), units of the same
+  cell are exchanged with each other (their indicators are equal, so all sums stay), which leaves one open unit per cell; open
+  units of one dimension fly on together;
 * what is still open merges upward in groups of bounded size, per dimension over ever more partitions, then over
   all dimensions;
 * the landing gives up constraints one by one, the last of them first, and resolves the rest.
 
+A target that the landed sample misses is checked against the rows that there are: those it can't be met with are reported as
+unreachable, the others as residuals.
+
 Only open units move upward, at most one per constraint and dimension after a flight.  The table of cells is bounded by the targets (values without a target count as one rest value).
 
 Defined results: case, width and surrounding blanks of values, order and repetition of letters don't matter.  A
@@ -19,7 +23,6 @@ are a rest value of their field.  With no rows or no targets nothing is drawn.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,6 +37,8 @@ FIELDS = ("question_type", "dimension", "gold_letters")
 FRACTION = 0.1
 #: Open units that a group should have when they merge upward; a flight leaves a few dozen of them.
 GROUP = 2000
+#: Units of a part of the first flight.
+PART = 20_000
 
 
 def plain_rows(rows: DataFrame) -> DataFrame:
@@ -171,8 +176,8 @@ def draw_sample(rows: DataFrame, targets: DataFrame, fraction: float = FRACTION,
     schema = "sample_id string, c_question_type string, c_dimension string, c_gold_letters string, p double"
 
     def fly(units: pd.DataFrame, salt: int, by_dimension: bool) -> pd.DataFrame:
-        units = units.assign(h=pd.util.hash_pandas_object(units["sample_id"], index=False)).sort_values([*names, "h"], ignore_index=True)
-        rng = np.random.default_rng([seed, salt])
+        units = units.assign(h=pd.util.hash_pandas_object(units["sample_id"], index=False)).sort_values([*names, "h", "sample_id"], ignore_index=True)
+        rng = np.random.default_rng([seed, salt, int(units["h"].min())])  # by the units themselves, not by where they lie
         cell = units.groupby(names, sort=False).ngroup().to_numpy()
         p = _exchange(cell, units["p"].to_numpy(float), rng)
         live = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
@@ -187,10 +192,8 @@ def draw_sample(rows: DataFrame, targets: DataFrame, fraction: float = FRACTION,
                 p[live] = _flight(x, p[live], rng)
         return units.assign(p=p)[["sample_id", *names, "p"]]
 
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for i, b in enumerate(batches):
-            if len(b):
-                yield fly(b, i, True)
+    def inside(b: pd.DataFrame) -> pd.DataFrame:
+        return fly(b, 0, True)
 
     def merged(b: pd.DataFrame) -> pd.DataFrame:
         return fly(b, 1, True)
@@ -210,7 +213,8 @@ def draw_sample(rows: DataFrame, targets: DataFrame, fraction: float = FRACTION,
         return b.assign(p=np.round(p))
 
     done, closed = [], (F.col("p") <= 1e-9) | (F.col("p") >= 1 - 1e-9)
-    level = cut(open_units.repartition("sample_id").sortWithinPartitions("sample_id").mapInPandas(inside, schema))
+    part = F.pmod(F.xxhash64(F.lit(seed), "sample_id"), F.lit(-(-total // PART)))
+    level = cut(open_units.withColumn("part", part).groupBy("part").applyInPandas(inside, schema))
     done.append(level.where(closed))
     blocks = 2
     while blocks > 1:  # upward: groups of a bounded number of open units, until one per dimension is left
@@ -230,7 +234,7 @@ def _per_value(rows: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame, targets: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """Per target: available samples, wanted and drawn ones, residual, and whether it can be met."""
+    """Per target: available samples, drawn ones, residual, whether the sample misses it and whether it can be met."""
     plain = plain_rows(rows)
     size = F.floor(F.col("samples") * F.lit(fraction) + 1e-9)
     drawn = draw_sample(rows, targets, fraction)
@@ -253,6 +257,7 @@ def report(rows: DataFrame, targets: DataFrame, fraction: float = FRACTION) -> D
             F.coalesce("drawn", F.lit(0)).alias("drawn"),
             F.round(F.coalesce("drawn", F.lit(0)) - F.col("target_permille") * F.col("sample_size") / 1000, 3).alias("residual"),
         )
+        .withColumn("missed", F.col("drawn") < F.greatest(F.col("min_rows"), F.col("target_permille") * F.col("sample_size") / 1000))
         .withColumn(
             "can_be_met",
             (F.col("available") >= F.col("min_rows")) & (F.col("available") * 1000 >= F.col("target_permille") * F.col("sample_size")),
@@ -261,5 +266,10 @@ def report(rows: DataFrame, targets: DataFrame, fraction: float = FRACTION) -> D
 
 
 def found(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """p5_found: the targets that cannot be met."""
-    return report(rows, targets).where("NOT can_be_met").select("target_id")
+    """p5_found: the targets that the landed sample misses and that no sample could meet."""
+    return report(rows, targets).where("missed AND NOT can_be_met").select("target_id")
+
+
+def reachability(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(target_id, available, sample_size, can_be_met)`` of every target."""
+    return report(rows, targets).select("target_id", "available", "sample_size", "can_be_met")

@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": _on(cube.found, "split_rows", "sample_targets"),
     "p5_sample": _on(cube.draw_sample, "split_rows", "sample_targets"),
     "p5_target_report": _on(cube.report, "split_rows", "sample_targets"),
+    "p5_reachability": _on(cube.reachability, "split_rows", "sample_targets"),
     "p6_found": _on(visual.found, "train_records", "predictions"),
     "p6_message_forms": _on(visual.train_forms, "train_records"),
     "p6_letter_forms": _on(lambda p: visual.letter_forms(p).withColumn("forms", text_of(F.col("forms"))), "predictions"),
@@ -109,6 +110,13 @@ n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 15
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM n),
 spans AS (SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 150 - min(i))::BIGINT AS span_chars FROM g GROUP BY doc_id, island)"""
 
+#: Distinct samples per value of a field, the sample's size, and the targets in one spelling.
+_REACH = f"""p AS (SELECT nullif({_strip('sample_id')}, '') AS sample_id, {_category('question_type')} AS question_type, {_category('dimension')} AS dimension,
+{_letter_set('gold_letters')} AS gold_letters FROM split_rows), k AS (SELECT * FROM p WHERE sample_id IS NOT NULL),
+v AS (SELECT sample_id, 'question_type' AS f, question_type AS x FROM k UNION ALL SELECT sample_id, 'dimension', dimension FROM k UNION ALL SELECT sample_id, 'gold_letters', gold_letters FROM k),
+c AS (SELECT f, x, count(DISTINCT sample_id) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT count(DISTINCT sample_id) // 10 AS size FROM k),
+t AS (SELECT target_id, field_name AS f, CASE WHEN field_name = 'gold_letters' THEN {_letter_set("string_split(field_value, ',')")} ELSE {_category('field_value')} END AS x, target_permille, min_rows FROM sample_targets)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": _pairs(_STORY, overlap.THRESHOLD, "(u.split_name = 'train') <> (v.split_name = 'train') AND u.split_name IN ('train', 'dev', 'test') AND v.split_name IN ('train', 'dev', 'test')"),
     "p4_found": _pairs(_USER, nearjoin.THRESHOLD, "true"),
@@ -118,12 +126,9 @@ star AS (SELECT DISTINCT id, lo FROM r JOIN s USING (f, v) WHERE id <> lo),
 e AS (SELECT id AS a, lo AS b FROM star UNION SELECT lo, id FROM star),
 reach AS (SELECT DISTINCT a AS start, a AS node FROM e UNION SELECT start, b FROM reach JOIN e ON node = a)
 SELECT start AS split_row_id, min(node) AS group_row_id FROM reach GROUP BY start""",
-    "p5_found": f"""WITH p AS (SELECT nullif({_strip('sample_id')}, '') AS sample_id, {_category('question_type')} AS question_type, {_category('dimension')} AS dimension,
-{_letter_set('gold_letters')} AS gold_letters FROM split_rows), k AS (SELECT * FROM p WHERE sample_id IS NOT NULL),
-v AS (SELECT sample_id, 'question_type' AS f, question_type AS x FROM k UNION ALL SELECT sample_id, 'dimension', dimension FROM k UNION ALL SELECT sample_id, 'gold_letters', gold_letters FROM k),
-c AS (SELECT f, x, count(DISTINCT sample_id) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT count(DISTINCT sample_id) // 10 AS size FROM k),
-t AS (SELECT target_id, field_name AS f, CASE WHEN field_name = 'gold_letters' THEN {_letter_set("string_split(field_value, ',')")} ELSE {_category('field_value')} END AS x, target_permille, min_rows FROM sample_targets)
-SELECT target_id FROM t LEFT JOIN c USING (f, x), z WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 1000 < target_permille * size""",
+    "p5_found": f"""WITH {_REACH} SELECT target_id FROM t LEFT JOIN c USING (f, x), z WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 1000 < target_permille * size""",
+    "p5_reachability": f"""WITH {_REACH} SELECT target_id, coalesce(n, 0) AS available, size AS sample_size, coalesce(n, 0) >= min_rows AND coalesce(n, 0) * 1000 >= target_permille * size AS can_be_met
+FROM t LEFT JOIN c USING (f, x), z""",
     "p6_letter_forms": f"""WITH l AS (SELECT prediction_id AS row_id, predicted_letters AS p, list_transform(predicted_letters, lambda v: upper(trim(translate(regexp_replace(regexp_replace(v, '{_UNSEEN}', '', 'g'),
 '{_BLANKS}', ' ', 'g'), '{"".join(_LETTER_FORMS)}', '{"".join(_LETTER_FORMS.values())}')))) AS f FROM predictions)
 SELECT row_id, CASE WHEN p IS NULL THEN '<unparsed>' ELSE '[' || array_to_string(f, ',') || ']' END AS forms,

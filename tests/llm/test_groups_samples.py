@@ -118,11 +118,14 @@ def test_sample_follows_targets(spark):
     assert report[3]["drawn"] >= 5
     sample = cube.draw_sample(df, targets)
     assert abs(sample.count() - 300) <= 1 and sample.select("sample_id").distinct().count() == sample.count()
+    again = cube.draw_sample(df.repartition(7, "dimension"), targets)
+    assert {r["sample_id"] for r in again.collect()} == {r["sample_id"] for r in sample.collect()}  # partitions don't decide
     values = {}
     for r in rows:
         if r[1]:
             values.setdefault(("dimension", (r[3] or "").strip().lower()), set()).add(r[1])
     unreachable = {r[0] for r in cube.found(df, targets).collect()}
+    assert all(report[t]["missed"] for t in unreachable)
     assert 4 in unreachable and 9 in unreachable and (3 in unreachable) == (len(values["dimension", "x"]) < 15)
     assert cube.found(df.where("false"), targets).count() == len([g for g in goal if g[3] > 0])
     assert cube.draw_sample(df, targets.where("false")).count() == 0
