@@ -5,12 +5,12 @@ such a field is a star of edges from its rows to its first row (a pre-aggregated
 with a third of all rows gives one edge per row and no group is gathered).  A Borůvka-style
 contraction of these edges (``forest.spanning_forest``) gives the groups.
 
-Groups are then dealt to the splits: those of more than a thousandth of all rows, at most
-1,000 of them, go largest first to the split that lacks most; other groups of several rows are put in order by
-size band, main dimension and a hash, and dealt systematically (a golden-ratio sequence over
-the rank) in the proportions still open, so every stretch of the order, and with it
-every size band and dimension, is spread evenly; the band of single rows is dealt last, per dimension, in
-the proportions that the groups left open there.
+Groups are then dealt to the splits by one rule, from the largest size band (powers of two) to the single rows.  The groups of
+a band and a main dimension are a stratum; in the order of a hash they take evenly spaced positions (systematic dealing from a
+hashed start) in the proportions that the splits still lack in that dimension after all larger bands.  Splits that
+lack fewer rows than a group of the band has, or fewer rows of the dimension than the stratum's groups have on average, are
+passed over; where none is left for a dimension, the lacks over all dimensions decide, and where no split has room, the one that lacks most.  So a group of a third of all rows is dealt by the
+same rule as a single row, and what large groups leave uneven is evened out by the smaller ones of the same dimension.
 
 Defined results: case and surrounding blanks don't matter; nulls, blanks, fill-in words and all-zero
 ids relate nothing.  A row without relations is a group of its own.  Repeated rows keep their own ids.  A null
@@ -20,16 +20,16 @@ targets nothing is assigned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.values import category, reference
 from sievework.llm.forest import spanning_forest
-from sievework.operators.sampling import ranked_in
-from sievework.session import cut, ranked
+from sievework.session import cut, ranked, written
 
 RELATIONS = ("sample_id", "story_cluster_id", "source_ref", "author_id")
-HEAVY = 1000
 
 
 def relation_edges(rows: DataFrame, relations: tuple[str, ...] = RELATIONS) -> DataFrame:
@@ -63,59 +63,46 @@ def forest_edges(rows: DataFrame) -> DataFrame:
 
 def split(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``(split_row_id, group_row_id, dimension, split_name)``: every row and its split."""
-    spark = rows.sparkSession
     groups = found(rows)
     keyed = rows.where("split_row_id IS NOT NULL").select("split_row_id", F.coalesce(category(F.col("dimension")), F.lit("missing")).alias("dimension"))
     keyed = cut(keyed.join(groups, "split_row_id", "left").withColumn("group_row_id", F.coalesce("group_row_id", "split_row_id")))
-    profile = keyed.groupBy("group_row_id", "dimension").agg(F.count("*").alias("n"))
-    sized = cut(
-        profile.groupBy("group_row_id").agg(
-            F.sum("n").alias("rows"), F.max(F.struct("n", "dimension"))["dimension"].alias("main")
-        )
-    )
     wanted = [(r[0], r[1]) for r in targets.where("target_permille > 0").orderBy(F.desc("target_permille"), "split_name").collect()]
-    total = sized.agg(F.sum("rows")).first()[0] or 0
-    if not wanted or not total:
+    if not wanted:
         return keyed.withColumn("split_name", F.lit(None).cast("string"))
+    profile = keyed.groupBy("group_row_id", "dimension").agg(F.count("*").alias("n"))
+    sized = profile.groupBy("group_row_id").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "dimension")).alias("m"))
+    sized = sized.select("group_row_id", "m.dimension", F.col("m.n").alias("main"), F.floor(F.log2("rows") + 1e-9).cast("int").alias("band"), F.xxhash64("group_row_id").alias("h"))
+    order = [F.desc("band"), F.col("dimension"), F.col("h"), F.col("group_row_id")]
+    roots = written(ranked(sized, order).drop("h"), "roots")  # sorted by band, so that a band reads its own row groups only
+    strata = cut(roots.groupBy("band", "dimension").agg(F.min("rank").alias("first"), F.count("*").alias("size"), F.avg("main").alias("main")))
+    profile = written(profile.join(roots.select("group_row_id", "band"), "group_row_id"), "profile")
     whole = sum(p for _, p in wanted)
-    lacks = {s: total * p / whole for s, p in wanted}
-    is_heavy = F.col("rows") > F.lit(total / HEAVY)
+    names, lacks = [s for s, _ in wanted], [f"lack_{i}" for i in range(len(wanted))]
+    open_rows = cut(profile.groupBy("dimension").agg(*(F.sum("n").cast("double") * (p / whole) for _, p in wanted)).toDF("dimension", *lacks))
     dealt = []
-    for g, n in sized.where(is_heavy).orderBy(F.desc("rows"), "group_row_id").select("group_row_id", "rows").collect():
-        best = max(wanted, key=lambda w: lacks[w[0]])[0]
-        lacks[best] -= n
-        dealt.append((g, best))
-    heavy = spark.createDataFrame(dealt, "group_row_id bigint, split_name string")
-    open_rows = {s: max(0.0, x) for s, x in lacks.items()}
-    rest = sum(open_rows.values()) or 1.0
-    multi = ranked(
-        sized.where(~is_heavy & (F.col("rows") > 1)).select(
-            "group_row_id", F.floor(F.log2("rows")).alias("band"), "main", F.xxhash64("group_row_id").alias("h")
-        ),
-        [F.desc("band"), F.col("main"), F.col("h"), F.col("group_row_id")],
-    )
-    names = [s for s, _ in wanted]
-    edges, edge = [], 0.0
-    for s in names:
-        edge += open_rows[s] / rest
-        edges.append(F.lit(edge))
-    at = (F.col("rank") + 0.5) * F.lit((5**0.5 - 1) / 2) % 1
-    placed = cut(multi.select("group_row_id", _dealt(at, edges, names).alias("split_name")).union(heavy))
-    # single rows come last: per dimension they fill what the groups left open
-    held = keyed.join(placed, "group_row_id", "left").groupBy(F.col("dimension").alias("main")).agg(
-        *(F.greatest(F.lit(0.0), F.count("*") * (p / whole) - F.count_if(F.col("split_name") == s)).alias(f"open_{i}") for i, (s, p) in enumerate(wanted))
-    )
-    lack = sum((F.col(f"open_{i}") for i in range(len(wanted))), F.lit(0.0))
-    singles = sized.where(~is_heavy & (F.col("rows") == 1)).select("group_row_id", "main")
-    order = F.sha2(F.col("group_row_id").cast("string"), 256)
-    counts = singles.groupBy("main").agg(F.count("*").alias("n"))
-    small = ranked_in(singles, "main", order).join(counts.join(held, "main"), "main")
-    shares, edge = [], F.lit(0.0)
-    for i, (_, p) in enumerate(wanted):
-        edge = edge + F.when(lack > 0, F.col(f"open_{i}") / lack).otherwise(p / whole)
-        shares.append(edge)
-    both = placed.union(small.select("group_row_id", _dealt((F.col("r") + 0.5) / F.col("n"), shares, names).alias("split_name")))
-    return keyed.join(both, "group_row_id").select("split_row_id", "group_row_id", "dimension", "split_name")
+    for band in sorted((r[0] for r in strata.select("band").distinct().collect()), reverse=True):  # at most one per power of two
+        total = open_rows.agg(*(F.sum(c) for c in lacks)).first()
+        room = [x >= 2**band for x in total]
+        here = roots.where(F.col("band") == band).join(strata.where(F.col("band") == band).drop("band").alias("stratum"), "dimension").join(open_rows, "dimension")
+        own = [F.when(F.col(c) >= F.col("stratum.main"), F.col(c)).otherwise(0.0) if ok else F.lit(0.0) for c, ok in zip(lacks, room)]
+        all_ = [max(0.0, x) if ok else 0.0 for x, ok in zip(total, room)]
+        if not sum(all_):
+            all_ = [float(x == max(total)) for x in total]
+        some = sum(own, F.lit(0.0)) > 0
+        shares = [F.when(some, o / sum(own, F.lit(0.0))).otherwise(a / sum(all_)) for o, a in zip(own, all_)]
+        edges = [sum(shares[: i + 1], F.lit(0.0)) for i in range(len(shares))]
+        start = F.pmod(F.xxhash64("band", "dimension"), F.lit(1 << 20)) / float(1 << 20)
+        at = ((F.col("rank") - F.col("first")) / F.col("size") + start) % 1
+        last = cut(here.select("group_row_id", _dealt(at, edges, names).alias("split_name")))
+        dealt.append(last)
+        got = profile.where(F.col("band") == band).join(last, "group_row_id").groupBy("dimension").agg(
+            *(F.sum(F.when(F.col("split_name") == s, F.col("n")).otherwise(0)).alias(f"got_{i}") for i, s in enumerate(names))
+        )
+        left = open_rows.join(got, "dimension", "left").fillna(0)
+        open_rows = cut(left.select("dimension", *((F.col(c) - F.col(f"got_{i}")).alias(c) for i, c in enumerate(lacks))))
+    if not dealt:
+        return keyed.withColumn("split_name", F.lit(None).cast("string"))
+    return keyed.join(reduce(DataFrame.union, dealt), "group_row_id").select("split_row_id", "group_row_id", "dimension", "split_name")
 
 
 def _dealt(at, edges: list, names: list[str]):
@@ -126,6 +113,17 @@ def _dealt(at, edges: list, names: list[str]):
     return name
 
 
+def kept_together(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row: rows, groups, rows without a split, and groups that stand in several splits (the last two must be 0)."""
+    per = split(rows, targets).groupBy("group_row_id").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("split_name").isNull()).alias("unassigned"), F.count_distinct("split_name").alias("splits")
+    )
+    return per.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("groups"),
+        F.coalesce(F.sum("unassigned"), F.lit(0)).alias("unassigned"), F.count_if(F.col("splits") > 1).alias("divided_groups"),
+    )
+
+
 def split_report(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Per split: groups, rows, reached and wanted permille, and the largest gap of a dimension's permille.
 

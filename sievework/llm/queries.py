@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": _on(groupsplit.found, "split_rows"),
     "p3_forest": _on(groupsplit.forest_edges, "split_rows"),
     "p3_splits": _on(groupsplit.split, "split_rows", "split_targets"),
+    "p3_kept_together": _on(groupsplit.kept_together, "split_rows", "split_targets"),
     "p3_split_report": _on(groupsplit.split_report, "split_rows", "split_targets"),
     "p4_found": _on(nearjoin.found, "train_records"),
     "p4_groups": _on(nearjoin.groups, "train_records"),
@@ -110,6 +111,12 @@ n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 15
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM n),
 spans AS (SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 150 - min(i))::BIGINT AS span_chars FROM g GROUP BY doc_id, island)"""
 
+#: Rows that reach each other over common values.
+_GROUPS = f"""RECURSIVE r AS ({' UNION ALL '.join(map(_relation, groupsplit.RELATIONS))}),
+s AS (SELECT f, v, min(id) AS lo FROM r GROUP BY f, v HAVING count(DISTINCT id) > 1),
+star AS (SELECT DISTINCT id, lo FROM r JOIN s USING (f, v) WHERE id <> lo),
+e AS (SELECT id AS a, lo AS b FROM star UNION SELECT lo, id FROM star),
+reach AS (SELECT DISTINCT a AS start, a AS node FROM e UNION SELECT start, b FROM reach JOIN e ON node = a)"""
 #: Distinct samples per value of a field, the sample's size, and the targets in one spelling.
 _REACH = f"""p AS (SELECT nullif({_strip('sample_id')}, '') AS sample_id, {_category('question_type')} AS question_type, {_category('dimension')} AS dimension,
 {_letter_set('gold_letters')} AS gold_letters FROM split_rows), k AS (SELECT * FROM p WHERE sample_id IS NOT NULL),
@@ -120,12 +127,9 @@ t AS (SELECT target_id, field_name AS f, CASE WHEN field_name = 'gold_letters' T
 ORACLE: dict[str, str] = {
     "p1_found": _pairs(_STORY, overlap.THRESHOLD, "(u.split_name = 'train') <> (v.split_name = 'train') AND u.split_name IN ('train', 'dev', 'test') AND v.split_name IN ('train', 'dev', 'test')"),
     "p4_found": _pairs(_USER, nearjoin.THRESHOLD, "true"),
-    "p3_found": f"""WITH RECURSIVE r AS ({' UNION ALL '.join(map(_relation, groupsplit.RELATIONS))}),
-s AS (SELECT f, v, min(id) AS lo FROM r GROUP BY f, v HAVING count(DISTINCT id) > 1),
-star AS (SELECT DISTINCT id, lo FROM r JOIN s USING (f, v) WHERE id <> lo),
-e AS (SELECT id AS a, lo AS b FROM star UNION SELECT lo, id FROM star),
-reach AS (SELECT DISTINCT a AS start, a AS node FROM e UNION SELECT start, b FROM reach JOIN e ON node = a)
-SELECT start AS split_row_id, min(node) AS group_row_id FROM reach GROUP BY start""",
+    "p3_found": f"""WITH {_GROUPS} SELECT start AS split_row_id, min(node) AS group_row_id FROM reach GROUP BY start""",
+    "p3_kept_together": f"""WITH {_GROUPS}, g AS (SELECT start, min(node) AS root FROM reach GROUP BY start)
+SELECT (SELECT count(*) FROM split_rows) AS rows, (SELECT count(*) FROM split_rows) - (SELECT count(*) FROM g) + (SELECT count(DISTINCT root) FROM g) AS groups, 0 AS unassigned, 0 AS divided_groups""",
     "p5_found": f"""WITH {_REACH} SELECT target_id FROM t LEFT JOIN c USING (f, x), z WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 1000 < target_permille * size""",
     "p5_reachability": f"""WITH {_REACH} SELECT target_id, coalesce(n, 0) AS available, size AS sample_size, coalesce(n, 0) >= min_rows AND coalesce(n, 0) * 1000 >= target_permille * size AS can_be_met
 FROM t LEFT JOIN c USING (f, x), z""",

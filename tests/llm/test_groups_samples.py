@@ -93,6 +93,7 @@ def test_split_proportions_and_dimensions(spark):
     report = {r["split_name"]: r for r in groupsplit.split_report(spark.createDataFrame(rows, ROWS), targets).collect()}
     for r in report.values():
         assert abs(r["permille"] - r["target_permille"]) < 10 and r["dimension_gap"] < 15
+    assert groupsplit.kept_together(spark.createDataFrame(rows, ROWS), targets).where("unassigned = 0 AND divided_groups = 0 AND rows = 7000").count() == 1
     empty = groupsplit.split(spark.createDataFrame([], ROWS), targets)
     assert empty.count() == 0 and groupsplit.split_report(spark.createDataFrame([], ROWS), targets).count() == 3
     assert groupsplit.split(spark.createDataFrame(rows[:5], ROWS), targets.where("false")).where("split_name IS NULL").count() == 5
