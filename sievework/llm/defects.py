@@ -1,13 +1,14 @@
 """Problem 2: broken prompt and response pairs.
 
 The answer to the last user message is cut into clauses, each clause is tagged as answer, refusal,
-echo, foreign or unfinished by a conditional random field, and the characters that each tag covers decide
-on the pair's defect.
+echo, foreign or unfinished by a conditional random field, and the tags alone decide on the pair's defect: the characters that
+each tag covers, and the tag in which the answer closes (``defect``).
 
-The field is trained here, on at most ``TRAINING`` records (those with the smallest hashes of their line)
-whose clauses are labelled by the cues below; it weighs the cues against each other and against the
-neighbouring clauses, so that a clause without a cue of its own ("please ask another question") goes with its
-neighbours.  All records are tagged with it.
+The field is trained here, on at most ``TRAINING`` records (those with the smallest hashes of their line, their last
+``TRAINING_CLAUSES`` clauses) whose clauses are labelled by the cues below.  It sees the cues, the clause's hashed character
+n-grams and the neighbouring tags.  In half of the training records the wording cue of refusals is hidden, so that the
+n-grams and the neighbours have to carry the tag; a refusal in other words, or a clause without a cue of its own ("please ask
+another question"), is tagged by them.  All records are tagged with it, each in one pass from its first clause to its last.
 
 Defined results: a record without an assistant message after its last user message (or without messages) is ``empty``; without
 a user message its last assistant message is judged without a question, and is neither an echo nor foreign.  Null contents
@@ -25,11 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.crf import ChainCRF
+from sievework.llm.records import IGNORABLE
+from sievework.llm.textsets import code_points
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 TRAINING = 1500
-STEPS = 48  # clauses of one decoding window; longer answers are decoded in windows
+TRAINING_CLAUSES = 48
+FEATURES, GRAMS = 18, 4096
+#: Cells (answers by clauses) that are decoded at once.
+CELLS = 100_000
 
 _TAGS = re.compile(r"</?think>", re.I)
 _EMPTY_BOX = re.compile(r"\\+boxed\s*\{\s*\}")
@@ -48,6 +54,8 @@ _ENGLISH_ANSWERS = re.compile(
     rf"(?=\s+A(?![A-Za-z'’])|[^.!?\n]{{0,24}}?(?<![A-Za-z])(?:(?![AI]){_LETTERS}(?![A-Za-z])|A{_AFTER})|[^.!?\n]{{0,24}}?(?<![A-Za-z])(?P<i>I){_AFTER})"
 )
 _TURN = re.compile(r"\b(?:but|so|therefore|hence|thus)\b|但|所以|因此|综上")
+#: A conclusion in words: it says what the answer is without a letter.
+_WORDED = re.compile(r"(?:答案|结论)(?:应该|应当|应)?(?:是|为)[：:\s]*[^\W\d_]{2,}|\b[Aa]nswer\s+is\s+(?:that\s+)?[a-zA-Z]+\s+\w+")
 _BARE = re.compile(rf"^\W*{_LETTERS}(?:\W*(?:和|与|及|and)?\W*{_LETTERS})*\W*$")
 _MARK = re.compile(r"^\W*[A-Z]\s*[.．)）、:：]\W*$")
 _OPTION = re.compile(r"^\W*[A-Z]\s*[.．)）、:：]\s*\w")
@@ -155,10 +163,14 @@ def _answers(clause: str, letters: set[str]) -> bool:
     return False
 
 
-def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (clauses by cues) and the letters of each clause."""
+def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Features (clauses by cues), the letters of each clause outside boxes, and the clauses.
+
+    The letters of a clause are what it covers: the writing in a box belongs to no language and covers nothing.
+    """
+    answer = IGNORABLE.sub("", answer)  # what shows nothing hides no wording
     parts = clauses(answer)
-    user = question or ""
+    user = IGNORABLE.sub("", question or "")
     plain_user = _PLAIN.sub("", user)
     language = _language(user)
     letters = set(_OPTION_LETTER.findall(user))
@@ -167,7 +179,7 @@ def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
         names = {n for n in names if n[:1].isupper()}
     elif language == "zh" and _LATIN_WORD.search(answer):  # Chinese names inside other writing
         names |= {run for run in _HAN_RUN.findall(answer) if len(run) < 5 and run in user}
-    x = np.zeros((len(parts), 16))
+    x = np.zeros((len(parts), FEATURES))
     size = np.zeros(len(parts))
     final = False
     last = len(parts) - 1
@@ -175,9 +187,12 @@ def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
     strange = _strange(answer, language, names)
     for i, c in enumerate(parts):
         plain = _PLAIN.sub("", c)
-        size[i] = len(plain)
+        boxed = _BOX.search(c) is not None
+        size[i] = len(_PLAIN.sub("", _BOX.sub("", c))) if boxed else len(plain)
         bare = _QUOTED.sub("", c)
-        answers = bool(_BOX.search(c)) or _answers(bare, letters) or bool(_BARE.match(c)) or (i == last and bool(_FINAL_WORD.match(c)))
+        ended = bool(_ENDED.search(c))
+        answers = boxed or _answers(bare, letters) or bool(_BARE.match(c)) or (i == last and bool(_FINAL_WORD.match(c)))
+        answers = answers or (ended and _WORDED.search(bare) is not None)
         if len(plain) >= 24:
             pieces = [plain[k : k + 8] for k in range(0, len(plain) - 7, 8)]
             echo = sum(p in plain_user for p in pieces) / len(pieces)
@@ -189,68 +204,116 @@ def cues(answer: str, question: str | None) -> tuple[np.ndarray, np.ndarray]:
         declines = bool(_DECLINES.search(bare))
         answers = answers and echo <= 0.9  # an option repeated from the question is no answer
         final = final or answers
-        ended = bool(_ENDED.search(c))
-        x[i] = (
+        x[i, :16] = (
             1.0, answers, declines, echo, echo > 0.9, foreign, foreign > 0.6, ended, i == last, i == last and not ended,
             i == last and not final, i == last and open_box and not final, i == 0, len(plain) < 4, min(len(plain), 60) / 60, final,
         )
-    return x, size
+    total = max(size.sum(), 1)
+    x[:, 16] = size[x[:, 6] > 0].sum() > 0.5 * total
+    x[:, 17] = size[x[:, 4] > 0].sum() >= 0.7 * total
+    return x, size, parts
+
+
+def gram_columns(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed pairs and fours of characters of each clause: where its run begins, and the columns of all runs."""
+    codes, starts = code_points([p.lower() for p in parts])
+    wide = codes.astype(np.uint64)
+    lengths = np.diff(starts)
+    runs, counts = [], np.zeros(len(parts), np.int64)
+    for n, salt in ((2, 0x9E3779B97F4A7C15), (4, 0xC2B2AE3D27D4EB4F)):
+        if len(codes) < n:
+            continue
+        h = np.zeros(len(codes) - n + 1, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(salt | 1) + wide[k : k + len(h)]
+        h = (h * np.uint64(salt) >> np.uint64(64 - GRAMS.bit_length() + 1)).astype(np.int32)
+        own = np.maximum(lengths - (n - 1), 0)
+        first = np.cumsum(own) - own
+        at = np.arange(own.sum()) - np.repeat(first, own) + np.repeat(starts[:-1], own)
+        runs.append((np.repeat(np.arange(len(parts)), own), h[at]))
+        counts += own
+    begin = np.r_[0, np.cumsum(counts)]
+    if not runs:
+        return begin, np.zeros(0, np.int32)
+    clause = np.concatenate([r[0] for r in runs])
+    return begin, np.concatenate([r[1] for r in runs])[np.argsort(clause, kind="stable")]
 
 
 def seed_labels(x: np.ndarray) -> np.ndarray:
-    """Labels of training clauses by their strongest cue."""
+    """Labels of training clauses by their cues.
+
+    What follows a final answer belongs to it unless it is foreign; what follows a refusal without an answer belongs to the
+    refusal; a last clause without a final answer before it is unfinished, also a foreign one in an answer that is not.
+    """
     answers, declines, echo, foreign, last, final = x[:, 1] > 0, x[:, 2] > 0, x[:, 4] > 0, x[:, 6] > 0, x[:, 8] > 0, x[:, 15] > 0
     y = np.full(len(x), ANSWER)
-    y[last & ~final] = UNFINISHED
     y[foreign] = FOREIGN
-    y[echo & ~answers] = ECHO
-    y[declines & ~answers & ~foreign] = REFUSAL
-    if len(y) > 1 and (y[:-1] == REFUSAL).any():  # what follows a refusal without an answer belongs to it
-        start = int(np.argmax(y == REFUSAL))
-        if not answers[start:].any():
-            y[start:] = REFUSAL
+    y[last & ~final & ~(foreign & (x[:, 16] > 0))] = UNFINISHED
+    y[echo & ~answers & ~final] = ECHO
+    if not final.any():
+        y[declines & ~foreign] = REFUSAL
+        refused = np.flatnonzero(y == REFUSAL)
+        if len(refused):
+            y[refused[0] :] = REFUSAL
     return y
 
 
 def _padded(items: list[np.ndarray], steps: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     x, mask = np.zeros((len(items), steps, width)), np.zeros((len(items), steps), bool)
     for i, a in enumerate(items):
-        x[i, : len(a)], mask[i, : len(a)] = a[:steps], True
+        x[i, : len(a)], mask[i, : len(a)] = a, True
     return x, mask
 
 
 def train(pairs: list[tuple[str, str | None]]) -> ChainCRF:
     """The field for labelled clauses of (answer, question) pairs."""
-    rows = [c for a, q in pairs if len(c := cues(a or "", q)[0])]
-    rows = [r[-STEPS:] for r in rows]
-    rich = [r for r in rows if seed_labels(r).any()]  # sequences of answers only are many and alike
-    rows = rich + [r for r in rows if not seed_labels(r).any()][: max(200, len(rich))]
-    model = ChainCRF(16, len(LABELS))
+    model = ChainCRF(FEATURES, len(LABELS), GRAMS)
+    seen = [(x[-TRAINING_CLAUSES:], parts[-TRAINING_CLAUSES:], seed_labels(x)[-TRAINING_CLAUSES:]) for a, q in pairs for x, _, parts in [cues(a or "", q)] if len(x)]
+    rich = [r for r in seen if r[2].any()]  # sequences of answers only are many and alike
+    rows = rich + [r for r in seen if not r[2].any()][: max(200, len(rich))]
     if not rows:
         return model
-    steps = max(2, max(map(len, rows)))
-    x, mask = _padded(rows, steps, 16)
+    steps = max(2, max(len(r[0]) for r in rows))
+    x, mask = _padded([r[0] for r in rows], steps, FEATURES)
+    x[::2, :, 2] = 0  # the cue is hidden
     y = np.zeros(mask.shape, np.int64)
     for i, r in enumerate(rows):
-        y[i, : len(r)] = seed_labels(r)
-    return model.fit(x, y, mask)
-
-
-def defect(tags: np.ndarray, x: np.ndarray, size: np.ndarray) -> str | None:
-    """The pair's defect from its clauses' tags, by the share of characters they cover."""
-    total = max(size.sum(), 1)
-    share = np.array([size[tags == k].sum() for k in range(len(LABELS))]) / total
-    final = x[:, 15].any()
-    if not final and ((tags[-3:] == REFUSAL) & (x[-3:, 2] > 0)).any():
+        y[i, : len(r[2])] = r[2]
+    return model.fit(x, y, mask, gram_columns([p for r in rows for p in r[1]]))
+
+
+def tagged(model: ChainCRF, items: list[tuple[np.ndarray, np.ndarray, list[str]]]) -> list[np.ndarray]:
+    """The tags of each answer's clauses; answers of like length are decoded together, each in one pass."""
+    tags: list[np.ndarray] = [np.zeros(0, np.int64)] * len(items)
+    order = sorted(range(len(items)), key=lambda i: len(items[i][0]))
+    while order:
+        steps = max(2, len(items[order[-1]][0]))
+        part = order[-max(1, CELLS // steps) :]
+        del order[-len(part) :]
+        x, mask = _padded([items[i][0] for i in part], steps, FEATURES)
+        out = model.decode(x, mask, gram_columns([p for i in part for p in items[i][2]]))
+        for row, i in zip(out, part):
+            tags[i] = row[: len(items[i][0])]
+    return tags
+
+
+def defect(tags: np.ndarray, size: np.ndarray) -> str | None:
+    """The pair's defect from its clauses' tags: what they cover, and the one in which the answer closes.
+
+    An answer that closes in a refusal is one.  One that is foreign for more than half of its characters is in another
+    language.  One that echoes at least 0.7 of its characters and does not close in an answer copies the question.  Any other
+    that does not close in an answer (foreign clauses at the end aside) is truncated.
+    """
+    covered = np.array([size[tags == k].sum() for k in range(len(LABELS))]) / max(size.sum(), 1)
+    own = tags[tags != FOREIGN]
+    closes = tags[-1] if tags[-1] in (REFUSAL, UNFINISHED) or not len(own) else own[-1]
+    if closes == REFUSAL:
         return "refusal"
-    body = (x[:, 1] == 0) | (x[:, 5] > 0)
-    if share[FOREIGN] > 0.5 * size[body].sum() / total and share[FOREIGN] > 0:
+    if covered[FOREIGN] > 0.5:
         return "other_language"
-    if share[ECHO] >= 0.7 and not final:
+    if covered[ECHO] >= 0.7 and closes != ANSWER:
         return "copies_question"
-    if not final:
-        return "truncated"
-    return None
+    return None if closes == ANSWER else "truncated"
 
 
 def judged(records: DataFrame, training: int = TRAINING) -> DataFrame:
@@ -273,26 +336,17 @@ def judged(records: DataFrame, training: int = TRAINING) -> DataFrame:
             lines, answers, questions = (batch.column(c).to_pylist() for c in ("source_line", "answer", "question"))
             kinds: list[str | None] = ["empty"] * len(lines)
             shares = np.zeros((len(lines), len(LABELS)))
-            held = []
+            held, rows = [], []
             for i, (a, q) in enumerate(zip(answers, questions)):
                 if a and _WORD_CHARS.search(_EMPTY_BOX.sub("", _TAGS.sub("", a))):
-                    x, size = cues(a, q)
-                    if len(x):
-                        held.append((i, x, size))
-            for lo in range(0, len(held), 4000):
-                part = held[lo : lo + 4000]
-                pieces = [x[k : k + STEPS] for _, x, _ in part for k in range(0, len(x), STEPS)]
-                steps = max(2, max(map(len, pieces)))
-                x, mask = _padded(pieces, steps, 16)
-                tags = model.decode(x, mask)
-                at = 0
-                for i, x, size in part:
-                    n = -(-len(x) // STEPS)
-                    own = np.concatenate([tags[at + k][: min(STEPS, len(x) - k * STEPS)] for k in range(n)])
-                    at += n
-                    kinds[i] = defect(own, x, size)
-                    for k in range(len(LABELS)):
-                        shares[i, k] = size[own == k].sum() / max(size.sum(), 1)
+                    item = cues(a, q)
+                    if len(item[0]):
+                        held.append(item)
+                        rows.append(i)
+            for i, (_, size, _), tags in zip(rows, held, tagged(model, held)):
+                kinds[i] = defect(tags, size)
+                for k in range(len(LABELS)):
+                    shares[i, k] = size[tags == k].sum() / max(size.sum(), 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lines, pa.int64()), pa.array(kinds, pa.string()), *(pa.array(np.round(shares[:, k], 6)) for k in range(len(LABELS)))],
                 names=["source_line", "defect", *(f"{n}_share" for n in LABELS)],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 _STORY = re.compile(r"(?:故事|Story)[：:]")
 _OPTIONS = re.compile(r"(?:选项|Options)[：:]")
-_IGNORABLE = re.compile("[" + "".join(map(chr, (0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF))) + "]")
+IGNORABLE = re.compile("[" + "".join(map(chr, (0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF))) + "]")
 
 
 def last_content(messages: str, role: str) -> Column:
@@ -25,7 +25,7 @@ def story_and_question(text: str) -> str:
     """
     start = _STORY.search(text)
     if not start:
-        text = _IGNORABLE.sub("", text)
+        text = IGNORABLE.sub("", text)
         start = _STORY.search(text)
         if not start:
             return ""

@@ -163,6 +163,53 @@ def test_pronoun_and_refusal_are_no_answer(answer, final):
     assert bool(defects.cues(answer, question)[0][:, 15].any()) is final
 
 
+def test_the_tags_alone_decide():
+    x, size, parts = defects.cues("甲把伞放回了门卫室。乙没有看见这件事。所以答案是B。", QUESTION)
+    tags = lambda *t: np.array(t)
+    a, r, e, f, u = range(5)
+    assert defects.defect(tags(a, a, a), size) is None
+    assert defects.defect(tags(a, a, u), size) == "truncated"
+    assert defects.defect(tags(a, r, r), size) == "refusal"
+    assert defects.defect(tags(f, f, a), size) == "other_language" and defects.defect(tags(a, a, f), size) is None
+    assert defects.defect(tags(e, e, e), size) == "copies_question" and defects.defect(tags(e, a, e), size) == "truncated"
+    assert defects.defect(tags(e, e, a), size) is None
+
+
+def _wordings(seed):
+    """(answer, defect) of training, and held-out refusals and answers whose wording holds no cue."""
+    rng = random.Random(seed)
+    who, what = "甲乙丙丁", ["把伞放回了门卫室", "没有看见这件事", "离开后才发生了变化", "以为钥匙还在原处", "隔着门提醒过别人"]
+    reason = lambda: "".join(rng.choice(who) + rng.choice(what) + "。" for _ in range(rng.randint(1, 4)))
+    decline = ["很抱歉，我无法回答这个问题。", "作为人工智能，我不能对此作出判断。", "对不起，我不会参与这类讨论。"]
+    after = ["这类话题不适合由我来谈。", "还望见谅，恕难从命。", "这样的内容我帮不上忙。", "这件事由专业人士来说更合适。"]
+    train = [(reason() + f"所以答案是{rng.choice('AB')}。", None) for _ in range(60)] + [(reason() + rng.choice(who) + "以为", "truncated") for _ in range(30)]
+    train += [(rng.choice(decline) + "".join(rng.sample(after, 2)), "refusal") for _ in range(40)]
+    held = [("".join(rng.sample(after, 2)), "refusal") for _ in range(20)] + [(reason() + "因此应选B。", None) for _ in range(20)] + [(reason() + rng.choice(who) + "后来", "truncated") for _ in range(20)]
+    return train, held
+
+
+def test_held_out_wordings_are_tagged_without_cues():
+    train, held = _wordings(5)
+    model = defects.train([(a, QUESTION) for a, _ in train])
+    items = [defects.cues(a, QUESTION) for a, _ in held]
+    assert not any(x[:, 2].any() for x, _, _ in items)  # no refusal cue in any of them
+    got = [defects.defect(t, s) for t, (_, s, _) in zip(defects.tagged(model, items), items)]
+    for kind in ("refusal", None, "truncated"):
+        hits = [g == w for g, (_, w) in zip(got, held) if w == kind]
+        assert sum(hits) >= 0.9 * len(hits), kind
+
+
+def test_long_answers_are_one_chain_and_worded_conclusions_are_answers():
+    train, _ = _wordings(6)
+    model = defects.train([(a, QUESTION) for a, _ in train])
+    long_ = "乙没有看见这件事。" * 3000
+    items = [defects.cues(a, QUESTION) for a in (long_ + "所以答案是B。", long_ + "乙以为", "Sorry about the delay, the answer is that Tom feels sad.", "所以答\u200d案\u200b是B。")]
+    tags = defects.tagged(model, items)
+    assert [len(t) for t in tags] == [len(x) for x, _, _ in items] and len(tags[0]) == 3001
+    assert [defects.defect(t, s) for t, (_, s, _) in zip(tags[:2], items[:2])] == [None, "truncated"]
+    assert all(x[-1, 15] for x, _, _ in items[2:])
+
+
 def test_crf_learns_and_generalises():
     """Held-out accuracy on chains whose emissions alone are ambiguous."""
     rng = np.random.default_rng(0)
