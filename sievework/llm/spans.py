@@ -1,24 +1,28 @@
 """Problem 9: long exact spans shared between records.
 
-De Bruijn compaction over sampled k-mers.
+De Bruijn compaction over sampled k-mers of tokens; a token is a character, the unit in which spans are measured.
 
-1. Nodes are k-mers of characters.  Of every stretch of ``length`` characters the k-mer with the smallest
+1. Nodes are k-mers.  Of every stretch of ``length`` characters the k-mer with the smallest
    hash is a node, so two records that share such a stretch share a node at the same place in it.
    Nodes that stand in one record only are dropped; a join with the node counts keeps the others.
 2. Two nodes of a record that follow each other at most ``k`` characters apart form an edge, named by both
-   nodes and their distance; as the k-mers touch, equal edges mean equal text.  Edges are counted
-   and joined back in the same way.
-3. Edges are compacted to nonbranching paths: neighbours belong to one path when both edges and the
-   node between them occur equally often, for then all their occurrences run through all of them.  A
-   path of at least ``length`` characters that stands in two records is a shared span as it is.
+   nodes and their distance; as the k-mers touch, equal edges mean equal text.  Edges are counted.
+3. Edges are compacted to nonbranching paths by joins of the distinct edges: two that meet in a node belong to one path when
+   both and the node occur equally often, for then all their occurrences run through all of them.  Every edge finds the head of
+   its path and its distance from it by pointer jumping (the logarithm of the longest path in rounds; there are no cycles,
+   as some occurrence would have to have no beginning).  The edges' occurrences join their heads, and those with one head and one
+   start, by source coordinates, are an occurrence of the path.  A path of at least ``length`` characters stands in two records
+   and is a shared span as it is.
 4. What is left are windows of ``length`` characters around the ends and branches of paths.  They are
-   verified by their source coordinates: the hashes of the windows that hold a repeated node meet in
-   one shuffle, and those of two records are kept.
+   verified by their source coordinates: the hashes of the windows that hold a repeated node are
+   aggregated to their first and last record, and those of two records join back.
 5. Per record, paths and windows are merged to maximal spans.
 
+Unsampled k-mers would be one row per character; the nodes are one row per (length - k + 2) / 2 of them, and lose no span.
 Every step is a hash join or a pre-aggregated count, rows are a few dozen bytes, and texts are
-shuffled once, to meet their own nodes.  64-bit hashes stand for text: among 10**9 windows a false
-match has probability 0.03.
+shuffled once, to meet their own nodes and paths (a list that is shorter than the text).  The joins have one row per node, edge or
+hash on one side, so a stock passage of a third of all records skews the other side only, which adaptive execution splits.
+64-bit hashes stand for text: among 10**9 windows a false match has probability 0.03.
 
 Defined results: null, blank and shorter texts share nothing and appear only in the report, with 0.
 Equal texts share all of their characters if long enough.  A stretch repeated only within one record is
@@ -33,11 +37,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.textsets import code_points, mix64
-from sievework.session import written
+from sievework.session import cut, written
 
 LENGTH = 150
 _BASE = 0x9E3779B97F4A7C15
@@ -117,128 +122,71 @@ def shared_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 roll = _Rolling(texts)
                 at = np.unique(roll.minimisers(roll.windows(length)[0], length, k))
                 text = np.searchsorted(roll.starts, at, side="right") - 1
+                own = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(roll.hashes(at, k).view(np.int64)),
                         pa.array(np.array(ids, np.int64)[text]),
+                        pa.array(own[text]),
                         pa.array((at - roll.starts[text]).astype(np.int32)),
                     ],
-                    names=["node", "doc_id", "at"],
+                    names=["node", "doc_id", "of", "at"],
                 )
 
-    nodes = written(docs.mapInArrow(find_nodes, "node bigint, doc_id bigint, at int"), "nodes")  # read twice
-    counts = (
-        nodes.groupBy("node")
-        .agg(F.count("*").cast("int").alias("occurs"), F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"))
-        .where("d1 <> d2")
-        .select("node", "occurs")
-    )
+    nodes = written(docs.mapInArrow(find_nodes, "node bigint, doc_id bigint, of bigint, at int"), "nodes")  # read twice
+    counts = nodes.groupBy("node").agg(F.count("*").cast("int").alias("occurs"), *_records()).where("d1 <> d2").select("node", "occurs")
     repeated = written(nodes.join(counts, "node"), "repeated")  # few rows, read twice
-    in_doc = Window.partitionBy("doc_id").orderBy("at")
+    in_text = Window.partitionBy("doc_id", "of").orderBy("at")  # texts that share a doc_id have their own edges
+    steps = repeated.select(
+        "doc_id", "at", "node", "occurs", F.lead("node").over(in_text).alias("next"), F.lead("occurs").over(in_text).alias("next_occurs"),
+        (F.lead("at").over(in_text) - F.col("at")).alias("gap"),
+    ).where(F.col("gap").between(1, k))
+    steps = written(steps.withColumn("edge", F.xxhash64("node", "next", "gap")), "steps")
     edges = (
-        repeated.withColumn("next", F.lead("node").over(in_doc))
-        .withColumn("gap", F.lead("at").over(in_doc) - F.col("at"))
-        .withColumn("edge", F.when(F.col("gap") <= k, F.xxhash64("node", "next", "gap")))
-    )
-    edge_counts = (
-        edges.where("edge IS NOT NULL")
-        .groupBy("edge")
-        .agg(F.count("*").cast("int").alias("times"), F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"))
+        steps.groupBy("edge")
+        .agg(F.count("*").cast("int").alias("times"), *(F.first(c).alias(c) for c in ("node", "next", "gap", "occurs", "next_occurs")), *_records())
         .where("d1 <> d2")
-        .select("edge", "times")
     )
-    paths = (
-        edges.join(edge_counts, "edge", "left")
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "node", "gap", "occurs", F.coalesce("times", F.lit(0)).alias("times")))).alias("nodes"))
-    )
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Paths as they are (h null), and the hashes of windows to verify."""
+    paths = steps.select("doc_id", "at", "gap", "edge").join(_heads(cut(edges)), "edge")
+    paths = paths.groupBy("doc_id", "head", (F.col("at") - F.col("far")).alias("start")).agg((F.max(F.col("at") + F.col("gap")) + k).alias("end"))
+    paths = cut(paths.where(F.col("end") - F.col("start") >= length).select("doc_id", F.col("start").alias("at"), (F.col("end") - F.col("start")).alias("chars")))
+    marks = repeated.select("doc_id", "at", F.lit(0).alias("chars")).union(paths)
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "chars")).alias("marks"))  # at most one per character
+
+    def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of windows that hold a repeated node and lie in no path."""
         for batch in batches:
-            path_of = dict(zip(batch.column("doc_id").to_pylist(), batch.column("nodes").to_pylist()))
+            column = batch.column("marks")
+            flat, offsets = column.flatten(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
+            at, chars = flat.field("at").to_numpy(), flat.field("chars").to_numpy()
+            row = {}
+            for i, d in enumerate(batch.column("doc_id").to_pylist()):
+                row[d] = i  # rows of one doc_id carry the same marks
             for ids, texts in _batches(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), length):
                 roll = _Rolling(texts)
                 windows, text = roll.windows(length)
-                least = roll.minimisers(windows, length, k)
                 known = np.zeros(len(roll.sums), bool)
-                ends = np.zeros(len(roll.sums), np.int64)  # where a finished path goes on to, by its characters
-                out_doc, out_at, out_chars = [], [], []
-                for n, doc in enumerate(ids):
-                    base = roll.starts[n]
-                    path = [p for p in path_of[doc] if p["at"] + k <= len(texts[n])]
-                    own = roll.hashes(base + np.array([p["at"] for p in path], np.int64), k).view(np.int64)
-                    path = [p for p, h in zip(path, own) if p["node"] == h]  # not those of another text of the same doc_id
-                    known[[base + p["at"] for p in path]] = True
-                    for p, q in zip(path, path[1:] + [None]):
-                        if q is None or q["at"] - p["at"] != p["gap"]:
-                            p["times"] = 0
-                    i = 0
-                    while i < len(path):
-                        j = i
-                        if path[i]["times"]:
-                            j = i + 1
-                            while path[j]["times"] and path[j - 1]["times"] == path[j]["occurs"] == path[j]["times"]:
-                                j += 1
-                            a, b = path[i]["at"], path[j]["at"] + k
-                            if b - a >= length:
-                                out_doc.append(doc)
-                                out_at.append(a)
-                                out_chars.append(b - a)
-                                ends[base + a : base + b] = np.maximum(ends[base + a : base + b], base + b)
-                        i = max(j, i + 1)
-                open_ = known[least] & (ends[windows] < windows + length)
-                at, text = windows[open_], text[open_]
-                whole = len(out_doc)
+                ends = np.zeros(len(roll.sums), np.int64)  # where a path goes on to, by its characters
+                for n, d in enumerate(ids):
+                    part = slice(offsets[row[d]], offsets[row[d] + 1])
+                    base, size = roll.starts[n], len(texts[n])
+                    a, c = at[part], chars[part]
+                    known[base + a[(c == 0) & (a + k <= size)]] = True
+                    for x, m in zip(a[c > 0].tolist(), c[c > 0].tolist()):
+                        stop = base + min(x + m, size)
+                        np.maximum(ends[base + x : stop], stop, out=ends[base + x : stop])
+                open_ = known[roll.minimisers(windows, length, k)] & (ends[windows] < windows + length)
+                here, text = windows[open_], text[open_]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[np.zeros(whole, np.int64), roll.hashes(at, length).view(np.int64)], mask=np.arange(whole + len(at)) < whole),
-                        pa.array(np.r_[np.array(out_doc, np.int64), np.array(ids, np.int64)[text]]),
-                        pa.array(np.r_[np.array(out_at, np.int64), at - roll.starts[text]].astype(np.int32)),
-                        pa.array(np.r_[np.array(out_chars, np.int64), np.full(len(at), length)].astype(np.int32)),
-                    ],
-                    names=["h", "doc_id", "at", "chars"],
+                    [pa.array(roll.hashes(here, length).view(np.int64)), pa.array(np.array(ids, np.int64)[text]), pa.array((here - roll.starts[text]).astype(np.int32))],
+                    names=["h", "doc_id", "at"],
                 )
 
-    one = docs.join(paths, "doc_id")  # only records with a repeated node go on
-    found = one.select("doc_id", "text", "nodes").mapInArrow(follow, "h bigint, doc_id bigint, at int, chars int")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by window and record; a window of two records is shared, a path always is.
-
-        Held back are only rows of one window and one record.
-        """
-        last, first_doc, shared = None, None, False
-        pending: list[np.ndarray] = []
-        for batch in batches:
-            good = np.asarray(batch.column("h").is_null())
-            hs = batch.column("h").fill_null(0).to_numpy(zero_copy_only=False)
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "at", "chars")], axis=1)
-            w = np.flatnonzero(~good)
-            if len(w):
-                hw, dw = hs[w], rows[w, 0]
-                cut = np.r_[0, np.flatnonzero(hw[1:] != hw[:-1]) + 1]
-                lo, hi = np.minimum.reduceat(dw, cut), np.maximum.reduceat(dw, cut)
-                if hw[0] == last:  # the run goes on from the batch before
-                    lo[0], hi[0] = min(lo[0], first_doc), max(hi[0], first_doc)
-                    if shared:
-                        hi[0] = lo[0] + 1
-                    if lo[0] != hi[0]:
-                        yield from map(_span_rows, pending)
-                        pending = []
-                else:
-                    pending = []
-                two = lo != hi
-                good[w] = np.repeat(two, np.diff(np.r_[cut, len(hw)]))
-                if len(cut) > 1:
-                    pending = []
-                last, first_doc, shared = hw[-1], lo[-1], bool(two[-1])
-                if not shared:
-                    pending.append(rows[w[cut[-1] :]])
-            yield _span_rows(rows[good])
-
-    spans = found.repartition("h", F.when(F.col("h").isNull(), F.col("doc_id"))).sortWithinPartitions("h", "doc_id")
-    spans = spans.mapInArrow(verify, "doc_id bigint, at int, chars int")
+    one = docs.join(marks, "doc_id")  # only records with a repeated node go on
+    windows = written(one.select("doc_id", "text", "marks").mapInArrow(open_windows, "h bigint, doc_id bigint, at int"), "windows")
+    shared = windows.groupBy("h").agg(*_records()).where("d1 <> d2").select("h")
+    spans = windows.join(shared, "h").select("doc_id", "at", F.lit(length).alias("chars")).union(paths)
+    in_doc = Window.partitionBy("doc_id").orderBy("at")
     so_far = in_doc.rowsBetween(Window.unboundedPreceding, -1)
     merged = (
         spans.withColumn("end", F.col("at") + F.col("chars"))
@@ -250,11 +198,22 @@ def shared_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return merged.select("doc_id", F.col("s").cast("bigint").alias("span_start"), (F.col("e") - F.col("s")).cast("bigint").alias("span_chars"))
 
 
-def _span_rows(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2].astype(np.int32))],
-        names=["doc_id", "at", "chars"],
-    )
+def _records() -> tuple[Column, Column]:
+    """The first and the last record, for groups that must stand in two."""
+    return F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")
+
+
+def _heads(edges: DataFrame) -> DataFrame:
+    """``(edge, head, far)``: the first edge of each distinct edge's nonbranching path, and the characters from there to it."""
+    ins = edges.where("times = next_occurs").select(F.col("next").alias("node"), F.col("edge").alias("head"), F.col("gap").alias("far"))
+    outs = edges.where("times = occurs").select("node", "edge")
+    link = outs.join(ins, "node").select("edge", "head", "far")
+    at = cut(edges.select("edge").join(link, "edge", "left").select("edge", F.coalesce("head", "edge").alias("head"), F.coalesce("far", F.lit(0)).alias("far")))
+    while True:
+        up = at.where("edge <> head").select(F.col("edge").alias("head"), F.col("head").alias("top"), F.col("far").alias("more"))
+        at = cut(at.select("edge", "head", "far").join(up, "head", "left").select("edge", F.coalesce("top", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), "top"))
+        if at.where("top IS NOT NULL").isEmpty():
+            return at.select("edge", "head", "far")
 
 
 def found(documents: DataFrame) -> DataFrame:
