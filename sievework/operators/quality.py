@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.letters import letters_az, option_letters, parsed_answer
+from sievework.functions.letters import box_count, letters_az, option_letters
 from sievework.functions.messages import chat_error, last_content, with_last_answer
-from sievework.functions.text import cleaned_answer, story_of
+from sievework.functions.text import story_of, with_clean_answer
 
 
 def fields(records: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def judged(records: DataFrame, allow_mismatch: bool = False) -> DataFrame:
 
 def accepted(records: DataFrame, limit: int = 1800, style: str = "compressed") -> DataFrame:
     """Accepted records with the answer rewritten to one canonical box, and what was done to it."""
-    ok = judged(records).where(F.size("reasons") == 0).withColumn("clean", cleaned_answer("answer", "gold", limit, style))
+    ok = with_clean_answer(judged(records).where(F.size("reasons") == 0), "answer", "gold", limit, style)
     return ok.select(
         "_source_line", "sample_id", "prompt_type", F.col("gold").alias("gold_letters"), "story", "dimension", "question_type", "option_letters",
         with_last_answer(F.col("messages"), F.col("clean")).alias("messages"), "story_cluster_id", "source",
@@ -58,7 +58,7 @@ def accepted(records: DataFrame, limit: int = 1800, style: str = "compressed") -
             F.lit(True).alias("answer_cleaned"),
             F.char_length("answer").alias("original_answer_chars"),
             F.char_length("clean").alias("clean_answer_chars"),
-            parsed_answer(F.col("answer")).alias("original_boxed_count"),
+            box_count(F.col("answer")).alias("original_boxed_count"),
         ).alias("_pipeline"),
     )
 
@@ -80,7 +80,7 @@ def cleaning_audit(records: DataFrame) -> DataFrame:
         F.count("*").alias("rows"),
         F.count_if(ok).alias("accepted"),
         F.count_if((F.size("pred") > 0) & (F.col("pred") != F.col("gold"))).alias("letter_mismatches"),
-        F.sum(parsed_answer(F.col("answer"))).alias("boxes"),
+        F.sum(box_count(F.col("answer"))).alias("boxes"),
         F.count_distinct(F.when(ok, F.col("dimension"))).alias("accepted_dimensions"),
         F.sum(F.size("option_letters")).alias("options"),
     )

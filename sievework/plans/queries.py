@@ -177,7 +177,7 @@ def protocol_gaps(spark, sf):
 @query
 def boxed_answers(spark, sf):
     rows = _last(spark, sf).select("run_id", "prediction_id", "content", "predicted_letters")
-    return rows.select("run_id", "prediction_id", evalgrid.text_of(boxed_answer("content")).alias("boxed"))
+    return rows.select("run_id", "prediction_id", evalgrid.text_of(boxed_answer(F.col("content"))).alias("boxed"))
 
 
 @query

@@ -12,6 +12,9 @@ from tests.test_operators import LOG, log_row
 def test_config():
     base = {"a": {"b": 1, "c": [1]}, "max_tokens": 5}
     assert config.merged(base, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}, "max_tokens": 5} and base["a"]["c"] == [1]
+    assert config.merged(base, {"a": {}}) == base and config.merged(base, {"a": None})["a"] is None and config.merged({"a": 1}, {"a": {"b": 2}}) == {"a": {"b": 2}}
+    assert [config.scalar(x) for x in ("True", " none", "NULL", "1.5", "[1]", "text", "")] == [True, None, None, 1.5, [1], "text", ""]
+    assert config.overridden({"a": None}, ["a..b = 1"]) == {"a": {"b": 1}} and config.overridden({"a": {"x": 1}}, ["a={}"]) == {"a": {}}
     assert config.overridden(base, ["a.b=2", "x.y=text", "z=true"]) == {"a": {"b": 2, "c": [1]}, "max_tokens": 5, "x": {"y": "text"}, "z": True}
     assert config.redacted({"API_KEY": "s", "max_tokens": 1, "in": [{"password": 1}], "ok": 2}) == {"API_KEY": config.SECRET, "max_tokens": config.SECRET, "in": [{"password": config.SECRET}], "ok": 2}
     with pytest.raises(config.ConfigError, match="a.z, q"):
