@@ -2,58 +2,66 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import jaccard, shingle_hashes, sketch, story_key
-from sievework.session import cut, written
+from sievework.operators.forest import spanning_forest
+from sievework.session import written
 
+#: A sketch of fewer hashes needs to share one, a longer one two.
+SHORT = 4
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(u, v)`` to ``(node, component)`` with the smallest node of each component.
 
-    Every node takes the smallest label among its own and its neighbours', labels are then followed to their own
-    label (pointer jumping), until nothing changes; each round is a reliable checkpoint.
-    """
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        near = labels.join(seen.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "m").alias("l"))
-        jump = labels.select(F.col("node").alias("l"), F.col("label").alias("ll"))
-        new = cut(near.join(jump, "l", "left").select("node", "label", F.least("l", F.coalesce("ll", "l")).alias("new")))
-        if new.where("new <> label").isEmpty():
-            return new.select("node", F.col("new").alias("component"))
-        labels = new.select("node", F.col("new").alias("label"))
-
-
-def fuzzy_edges(stories: DataFrame, threshold: float = 0.92, shingle: int = 5, sketch_size: int = 12) -> DataFrame:
-    """Pairs of distinct normal stories that are nearly equal: ``(u, v, similarity)``, hashes in order.
-
-    A pair is a candidate if it shares two of its bottom sketch hashes (one, if the later story's sketch is
-    short) and the lengths' ratio reaches the threshold; the length test is part of the join by way of length
-    bands, and shingles are shipped for survivors only.
-    """
-    import math
+def fuzzy_candidates(base: DataFrame, threshold: float, shingle: int, sketch_size: int) -> DataFrame:
+    """Pairs ``(u, v)`` to compare of ``(h, n, s)``: hashes in order, lengths whose ratio reaches the threshold, shared sketch hashes.
 
-    if threshold >= 1:
-        return stories.select(F.col("h").alias("u"), F.col("h").alias("v"), F.lit(1.0).alias("similarity")).where("false")
-    base = written(stories.select("h", F.length("norm").alias("n"), shingle_hashes("norm", shingle).alias("s")), "shingles")
+    Two shared hashes are needed, one if the later story's sketch is short.  Stories meet by every *pair* of their sketch hashes
+    (both in one number) and by length bands, so a single hash that many stories share brings none together; single hashes are
+    joined for short sketches only, which are short texts.
+    """
     band = F.floor(F.log("n") / F.lit(-math.log(threshold)))
-    posts = base.select("h", "n", F.size(sketch(F.col("s"), sketch_size)).alias("k"), band.alias("band"), F.explode(sketch(F.col("s"), sketch_size)).alias("x"))
-    left = posts.select("x", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("h").alias("u"), F.col("n").alias("nu"))
-    right = posts.select("x", "band", F.col("h").alias("v"), F.col("n").alias("nv"), F.col("k").alias("kv"))
-    shared = (
-        left.join(right, ["x", "band"])
-        .where("u < v")
-        .where(F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv"))
-        .groupBy("u", "v")
-        .agg(F.count("*").alias("c"), F.first("kv").alias("kv"))
-        .where(F.col("c") >= F.when(F.col("kv") < 4, 1).otherwise(2))
-    )
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    sketched = base.select("h", "n", band.alias("band"), sketch(F.col("s"), sketch_size).alias("k"))
+    twos = F.flatten(F.transform("k", lambda a, i: F.transform(F.slice("k", i + 2, F.lit(sketch_size)), lambda b: F.shiftleft(a, 32).bitwiseOR(b))))
+
+    def meeting(left: DataFrame, right: DataFrame, keys: Column) -> DataFrame:
+        a = left.select("n", "h", "band", F.explode(keys).alias("x")).select("x", near.alias("band"), F.col("h").alias("u"), F.col("n").alias("nu"))
+        b = right.select("band", "h", "n", F.explode(keys).alias("x")).select("x", "band", F.col("h").alias("v"), F.col("n").alias("nv"))
+        fits = F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv")
+        return a.join(b, ["x", "band"]).where("u < v").where(fits).select("u", "v")
+
+    short = sketched.where(F.size("k") < SHORT)
+    beside = sketched.where(F.col("n") * threshold <= shingle + SHORT - 1)  # no other text is as short as one with a short sketch
+    return meeting(sketched, sketched, twos).union(meeting(beside, short, F.col("k"))).distinct()
+
+
+def _shingled(stories: DataFrame, shingle: int) -> DataFrame:
+    return written(stories.select("h", F.length("norm").alias("n"), shingle_hashes("norm", shingle).alias("s")), "shingles")
+
+
+def fuzzy_edges(base: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """The candidates that are nearly equal: ``(u, v, similarity)``; shingles are shipped for candidates only."""
     a = base.select(F.col("h").alias("u"), F.col("s").alias("su"))
     b = base.select(F.col("h").alias("v"), F.col("s").alias("sv"))
-    return shared.join(a, "u").join(b, "v").select("u", "v", jaccard(F.col("su"), F.col("sv")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return candidates.join(a, "u").join(b, "v").select("u", "v", jaccard(F.col("su"), F.col("sv")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _clustered(records: DataFrame, id_: str, story: Column, threshold: float, shingle: int, sketch_size: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(id, h, component)`` (null for a story that no other is near to), and the compared candidates."""
+    keyed = written(records.select(F.col(id_), story_key(story).alias("norm")), "stories")
+    own = F.when(F.col("norm") == "", F.concat(F.lit("__missing_story_"), F.col(id_).cast("string"))).otherwise(F.col("norm"))
+    keyed = keyed.withColumn("h", F.sha2(own, 256))
+    if threshold >= 1:
+        return keyed.select(id_, "h", F.lit(None).cast("string").alias("component")), None
+    stories = keyed.where("norm <> ''").groupBy("h").agg(F.first("norm").alias("norm"))
+    base = _shingled(stories, shingle)
+    candidates = written(fuzzy_candidates(base, threshold, shingle, sketch_size), "candidates")
+    edges = fuzzy_edges(base, candidates, threshold).select("u", "v", (1 - F.col("similarity")).alias("w"))
+    merged = spanning_forest(edges)[0].select(F.col("vertex").alias("h"), F.col("root").alias("component"))
+    return keyed.select(id_, "h").join(merged, "h", "left").select(id_, "h", "component"), candidates
 
 
 def story_clusters(
@@ -64,13 +72,21 @@ def story_clusters(
     An empty story is a cluster of its own and takes no part in the fuzzy stage (two placeholders are never near
     each other).
     """
-    keyed = written(records.select(F.col(id_), story_key(story).alias("norm")), "stories")
-    own = F.when(F.col("norm") == "", F.concat(F.lit("__missing_story_"), F.col(id_).cast("string"))).otherwise(F.col("norm"))
-    keyed = keyed.withColumn("h", F.sha2(own, 256))
-    stories = keyed.where("norm <> ''").groupBy("h").agg(F.first("norm").alias("norm"))
-    merged = components(fuzzy_edges(stories, threshold, shingle, sketch_size)).select(F.col("node").alias("h"), "component")
-    return keyed.join(merged, "h", "left").select(
+    rows = _clustered(records, id_, story, threshold, shingle, sketch_size)[0]
+    return rows.select(
         id_,
         F.concat(F.lit(prefix + "_"), F.substring(F.coalesce("component", "h"), 1, 16)).alias("story_cluster_id"),
         F.concat(F.lit("exact_"), F.substring("h", 1, 16)).alias("story_exact_id"),
     )
+
+
+def cluster_audit(records: DataFrame, id_: str, story: Column, threshold: float = 0.92, shingle: int = 5, sketch_size: int = 12) -> DataFrame:
+    """One row: rows, exact stories, clusters, stories merged by similarity, candidate pairs compared, rows in shared clusters."""
+    rows, candidates = _clustered(records, id_, story, threshold, shingle, sketch_size)
+    per = rows.groupBy(F.coalesce("component", "h").alias("c")).agg(F.count("*").alias("rows"), F.count_distinct("h").alias("stories"))
+    counts = per.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("stories"), F.lit(0)).alias("exact_stories"), F.count("*").alias("clusters"),
+        F.coalesce(F.sum(F.col("stories") - 1), F.lit(0)).alias("merged_stories"), F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("rows_in_shared_clusters"),
+    )
+    pairs = candidates.agg(F.count("*").alias("candidate_pairs_compared")) if candidates is not None else counts.select(F.lit(0).cast("bigint").alias("candidate_pairs_compared"))
+    return counts.crossJoin(pairs)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.letters import box_count, letters_az, option_letters
 from sievework.functions.messages import chat_error, last_content, with_last_answer
 from sievework.functions.text import story_of, with_clean_answer
+from sievework.operators.quantiles import group_key, quantiles
 
 
 def fields(records: DataFrame) -> DataFrame:
@@ -107,12 +108,8 @@ def duplicate_audit(rows: DataFrame, value: str) -> DataFrame:
 
 def length_summary(rows: DataFrame, length: str, *by: str) -> DataFrame:
     """Count, minimum, interpolated median, nearest-rank 95th and 99th percentile, maximum of a column."""
-    disc = "CAST(percentile_disc({f}) WITHIN GROUP (ORDER BY {c}) AS double)"
-    return rows.groupBy(*by).agg(
-        F.count(length).alias("count"),
-        F.min(length).cast("double").alias("min"),
-        F.median(length).alias("median"),
-        F.expr(disc.format(f=0.95, c=length)).alias("p95"),
-        F.expr(disc.format(f=0.99, c=length)).alias("p99"),
-        F.max(length).cast("double").alias("max"),
+    base = rows.groupBy(*by).agg(F.count(length).alias("count"), F.min(length).cast("double").alias("min"), F.max(length).cast("double").alias("max"))
+    parts = quantiles(rows, length, by, {"p95": 0.95, "p99": 0.99}, "median")
+    return base.withColumn("_k", group_key(by)).join(parts, "_k", "left").select(
+        *by, "count", "min", "median", F.col("p95").cast("double").alias("p95"), F.col("p99").cast("double").alias("p99"), "max"
     )

@@ -64,7 +64,7 @@ def balanced(rows: DataFrame, by: str, key: str, target: str | int = "median", s
     ranked = ranked_in(rows, by, hash_order(seed, F.col(by).cast("string"), F.col(key).cast("string")))
     uses = F.ceil((F.coalesce("target", "n") - F.col("r")) / F.col("n")).cast("int")
     return (
-        ranked.join(F.broadcast(plan), by)
+        ranked.join(plan, by)
         .where(F.col("r") < F.coalesce("target", "n"))
         .withColumn("occurrence", F.explode(F.sequence(F.lit(0), uses - 1)))
         .withColumn("instance_id", hash_id("", F.col(by).cast("string"), F.col(key).cast("string"), F.col("occurrence").cast("string"), digits=20))
@@ -101,7 +101,7 @@ def take_quota(rows: DataFrame, quotas: DataFrame, by: str, key: str, cap: int,
     counts = rows.groupBy(by).agg(F.count("*").alias("n"))
     uses = F.least(F.lit(cap), F.ceil((F.col("quota") - F.col("r")) / F.col("n"))).cast("int")
     return (
-        ranked.join(F.broadcast(counts.join(quotas.withColumnRenamed("key", by), by)), by)
+        ranked.join(counts.join(quotas.withColumnRenamed("key", by), by), by)
         .where("r < quota")
         .withColumn("occurrence", F.explode(F.sequence(F.lit(0), uses - 1)))
         .drop("r", "n", "quota")

@@ -21,6 +21,10 @@ from sievework.operators.sampling import ranked_in
 from sievework.session import cut, written
 
 
+#: How much rows beyond a dimension's need, and beyond the goal, count against a cluster.
+OVERSUPPLY, OVERSHOOT = 0.20, 2.0
+
+
 def cluster_profile(rows: DataFrame, cluster: Column, dimension: Column) -> DataFrame:
     """``(cluster, dims array<struct<dimension, n>>, class)``: equal profiles have the same class."""
     n = rows.groupBy(cluster.alias("cluster"), dimension.alias("dimension")).agg(F.count("*").alias("n"))
@@ -82,16 +86,16 @@ def choose_dev(
         open_ &= ~has[k]
         left = left - has[k]
     lack = np.maximum(target - held, 0)
-    gains = (np.minimum(counts, lack) - 0.20 * np.maximum(counts - lack, 0)) / base
+    gains = (np.minimum(counts, lack) - OVERSUPPLY * np.maximum(counts - lack, 0)) / base
     while (many > 0).any() and rows < goal:
-        over = 2.0 * np.maximum(rows + size - goal, 0) / max(goal, 1)
+        over = OVERSHOOT * np.maximum(rows + size - goal, 0) / max(goal, 1)
         k = best(gains.sum(1) - over, -np.abs(goal - rows - size))
         if rows and abs(goal - rows) <= abs(goal - rows - size[k]):
             break
         move(k)
         d = np.flatnonzero(has[k])  # only these dimensions' needs have changed
         lack[d] = np.maximum(target[d] - held[d], 0)
-        gains[:, d] = (np.minimum(counts[:, d], lack[d]) - 0.20 * np.maximum(counts[:, d] - lack[d], 0)) / base[d]
+        gains[:, d] = (np.minimum(counts[:, d], lack[d]) - OVERSUPPLY * np.maximum(counts[:, d] - lack[d], 0)) / base[d]
     return picks, {names[i] for i in np.flatnonzero(open_)}
 
 
@@ -116,7 +120,7 @@ def _first(members: DataFrame, ids: list[int]) -> Callable[[list[int], np.ndarra
         if any(picks[k] >= len(held[k]) for k in hit):
             low = [(c, len(held[k]), max(16, 4 * int(picks[k]))) for k, c in enumerate(ids) if len(held[k]) <= 2 * picks[k]]
             asked = members.sparkSession.createDataFrame(low, "class bigint, lo bigint, hi bigint")
-            got = members.join(F.broadcast(asked), "class").where("r >= lo AND r < hi").select("class", "r", "tie").toArrow()
+            got = members.join(asked, "class").where("r >= lo AND r < hi").select("class", "r", "tie").toArrow()
             for c, _, t in sorted(zip(*(got.column(i).to_pylist() for i in range(3)))):
                 held[at[c]].append(t)
         return min(hit, key=lambda k: held[k][picks[k]])
@@ -138,7 +142,7 @@ def train_dev_split(rows: DataFrame, cluster: str = "story_cluster_id", dimensio
     ids = [r["class"] for r in found]
     picks, _ = choose_dev([({d: n for d, n in r["dims"]}, r["n"]) for r in found], fraction, stay, _first(members, ids))
     chosen = spark.createDataFrame([(c, int(n)) for c, n in zip(ids, picks) if n], "class bigint, picks bigint")
-    dev = cut(members.join(F.broadcast(chosen), "class").where("r < picks").select(F.col("cluster").alias(cluster), F.lit("dev").alias("split")))
+    dev = cut(members.join(chosen, "class").where("r < picks").select(F.col("cluster").alias(cluster), F.lit("dev").alias("split")))
     return rows.join(dev, cluster, "left").fillna("train", ["split"])
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.quantiles import group_key, quantiles
+
 IGNORED = -100
 
 
@@ -14,25 +18,43 @@ def assistant_labels(ids: Column, spans: Column) -> Column:
     return F.transform(ids, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"])), x).otherwise(IGNORED))
 
 
-def chat_tokens(messages, encode):
-    """``(input_ids, labels)`` of conversations under an injected ``encode(role, content) -> ids``: other roles are masked.
+def chat_tokens(messages, encode: Callable[[str, str], Sequence[int]]):
+    """``(input_ids, labels, error)`` of conversations whose template is one message after the other.
+
+    ``encode(role, content)`` gives a message's ids; other roles than the assistant are masked.  A case of ``template_tokens``.
+    """
+    return template_tokens(messages, lambda chat, _: [i for turn in chat for i in encode(turn["role"], turn["content"] or "")])
+
+
+def template_tokens(messages, render: Callable[[list, bool], Sequence[int]]):
+    """``(input_ids, labels, error)`` of conversations under an injected chat template.
 
-    Every message is encoded by itself, so a label span is the range of an assistant message's ids.
+    ``render(messages, generation_prompt)`` gives the ids of a conversation, with the opening of the next answer if asked.  An
+    answer's labels run from the ids of what precedes it, with that opening, to the ids through it; both must be prefixes of the whole,
+    else the template is not stable and ``error`` says where; then, and without a trainable id, labels are null.  An
+    opening that ``render`` does not give belongs to the answer.
     """
+
+    def one(chat) -> tuple[list[int], list[int] | None, str | None]:
+        turns = list(chat) if chat is not None else []
+        ids = list(render(turns, False))
+        labels = [IGNORED] * len(ids)
+        for i, turn in enumerate(turns):
+            if turn["role"] != "assistant":
+                continue
+            start, stop = list(render(turns[:i], True)), list(render(turns[: i + 1], False))
+            for name, part in (("before", start), ("after", stop)):
+                if ids[: len(part)] != part:
+                    return ids, None, f"unstable_{name}_answer"
+            if len(stop) <= len(start):
+                return ids, None, "empty_answer"
+            labels[len(start) : len(stop)] = ids[len(start) : len(stop)]
+        return (ids, labels, None) if any(x != IGNORED for x in labels) else (ids, None, "no_trainable_label")
+
     def batch(chats: pd.Series) -> pd.DataFrame:
-        ids, labels = [], []
-        for chat in chats:
-            i: list[int] = []
-            m: list[int] = []
-            for turn in chat if chat is not None else []:
-                new = list(encode(turn["role"], turn["content"] or ""))
-                i += new
-                m += new if turn["role"] == "assistant" else [IGNORED] * len(new)
-            ids.append(i)
-            labels.append(m)
-        return pd.DataFrame({"input_ids": ids, "labels": labels})
+        return pd.DataFrame([one(chat) for chat in chats], columns=["input_ids", "labels", "error"])
 
-    return F.pandas_udf(batch, "input_ids array<int>, labels array<int>")(messages)
+    return F.pandas_udf(batch, "input_ids array<int>, labels array<int>, error string")(messages)
 
 
 def dataset_stats(rows: DataFrame, limit: int, strategy: str, *by: str) -> DataFrame:
@@ -44,23 +66,32 @@ def dataset_stats(rows: DataFrame, limit: int, strategy: str, *by: str) -> DataF
     )
 
 
-def truncated(rows: DataFrame, limit: int, strategy: str = "left") -> DataFrame:
-    """Token rows cut to ``limit``: from the left or right, or too long ones dropped.
+def truncated(rows: DataFrame, limit: int, strategy: str = "left", strict: bool = False) -> DataFrame:
+    """Token rows cut to ``limit`` ids; rows that are not longer stay as they are.
 
-    ``dropped`` marks rows that are too long under ``drop`` or have no trainable label left.
+    ``left`` (``keep_left``) keeps the last ids, ``right`` (``keep_right``) the first, ``drop`` marks longer rows as dropped, ``error``
+    raises for them.  A cut that leaves no trainable label marks the row as dropped, or raises if ``strict``.  Ids and labels of
+    different lengths raise.
     """
+    kind = strategy.lower().replace("keep_", "")
+    if limit <= 0 or kind not in ("left", "right", "drop", "error"):
+        raise ValueError("a positive limit, and one of drop, error, left, right")
     n = F.size("input_ids")
-    cut = {
-        "left": lambda c: F.slice(c, F.greatest(n - limit + 1, F.lit(1)), F.lit(limit)),
-        "right": lambda c: F.slice(c, 1, limit),
-        "drop": lambda c: F.col(c),
-    }[strategy]
-    out = rows.withColumns({"_ids": cut("input_ids"), "_labels": cut("labels")})
-    too_long = (n > limit) if strategy == "drop" else F.lit(False)
-    dead = ~F.exists("_labels", lambda x: x != IGNORED)
+    long = n > limit
+    begin = F.when(long, F.greatest(n - limit + 1, F.lit(1))).otherwise(1) if kind == "left" else F.lit(1)
+    part = (lambda c: F.when(long, F.slice(c, begin, F.lit(limit))).otherwise(F.col(c))) if kind in ("left", "right") else F.col
+    out = rows.withColumns({"_ids": part("input_ids"), "_labels": part("labels")})
+    lost = long & ~F.exists("_labels", lambda x: x != IGNORED)
+    dropped = long if kind == "drop" else lost
+    stop = F.lit(False)
+    if kind == "error":
+        stop = F.when(long, F.raise_error(F.concat(F.lit(f"more than {limit} ids: "), n.cast("string")))).otherwise(False)
+    elif strict and kind != "drop":
+        stop = F.when(lost, F.raise_error(F.lit(f"{strategy} leaves no trainable label"))).otherwise(False)
+    uneven = F.when(F.coalesce(n, F.lit(0)) != F.coalesce(F.size("labels"), F.lit(0)), F.raise_error(F.lit("ids and labels differ in length"))).otherwise(False)
     return out.select(
         *[c for c in rows.columns if c not in ("input_ids", "labels")],
-        F.col("_ids").alias("input_ids"), F.col("_labels").alias("labels"), (too_long | dead).alias("dropped"),
+        F.col("_ids").alias("input_ids"), F.col("_labels").alias("labels"), (stop | uneven | F.coalesce(dropped, F.lit(False))).alias("dropped"),
     )
 
 
@@ -70,7 +101,7 @@ def padded(rows: DataFrame, batch: str, multiple: int = 8, pad_id: int = 0) -> D
     width = (F.ceil(F.col("m") / multiple) * multiple).cast("int")
     gap = width - F.size("input_ids")
     fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), gap))
-    return rows.join(F.broadcast(longest), batch).select(
+    return rows.join(longest, batch).select(
         *[c for c in rows.columns if c not in ("input_ids", "labels")],
         fill("input_ids", pad_id).alias("input_ids"),
         fill("labels", IGNORED).alias("labels"),
@@ -98,17 +129,16 @@ def grouped_loss(rows: DataFrame) -> DataFrame:
 
 def token_audit(rows: DataFrame, limit: int, *by: str) -> DataFrame:
     """Nearest-rank percentiles of token counts, rows above the limit, rows without the final markers."""
-    disc = "CAST(percentile_disc({}) WITHIN GROUP (ORDER BY tokens) AS bigint)"
-    return rows.groupBy(*by).agg(
+    base = rows.groupBy(*by).agg(
         F.count("*").alias("rows"),
-        F.expr(disc.format(0.5)).alias("p50"),
-        F.expr(disc.format(0.95)).alias("p95"),
-        F.expr(disc.format(0.99)).alias("p99"),
         F.max("tokens").cast("bigint").alias("max"),
         F.count_if(F.col("tokens") > limit).alias("overlength"),
         F.count_if(~F.coalesce(F.contains("answer", F.lit("</think>")), F.lit(False))).alias("without_think_end"),
         F.count_if(~F.coalesce(F.contains("answer", F.lit("\\boxed{")), F.lit(False))).alias("without_box"),
     )
+    parts = quantiles(rows, "tokens", by, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    disc = [F.col(p).cast("bigint").alias(p) for p in ("p50", "p95", "p99")]
+    return base.withColumn("_k", group_key(by)).join(parts, "_k", "left").select(*by, "rows", *disc, "max", "overlength", "without_think_end", "without_box")
 
 
 def overlength(rows: DataFrame, limit: int) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text
+from sievework.operators.forest import spanning_forest
 from sievework.operators import clusters, compare, evalgrid, labels, manifest, quality, sampling, split, training
 
 LOG = (
@@ -130,11 +131,40 @@ def test_near_stories_share_a_cluster(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    chain = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("a", "b")], "u string, v string")
-    got = {r["node"]: r["component"] for r in clusters.components(chain).collect()}
+    chain = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}", 1.0) for i in range(60)] + [("a", "b", 1.0)], "u string, v string, w double")
+    got = {r["vertex"]: r["root"] for r in spanning_forest(chain)[0].collect()}
     assert {got[f"{i:03d}"] for i in range(61)} == {"000"} and got["b"] == "a"
 
 
+def test_candidates_equal_all_pairs_by_definition(spark):
+    """Pairs of hashes find what counting shared hashes over all pairs finds, also with a stock opening and short texts."""
+    rng = random.Random(8)
+    letters = "".join(chr(0x4E00 + i) for i in range(40))
+    texts = {"".join(rng.choice(letters) for _ in range(n)) for n in (3, 4, 5, 6, 6, 7, 7, 8, 9)} | {letters[:k] for k in range(4, 9)}
+    for _ in range(12):
+        t = "开头都是这一句话" * 3 + "".join(rng.choice(letters) for _ in range(60))
+        texts |= {t, t[:50] + "改" + t[51:], t + "尾"}
+    df = spark.createDataFrame([(t, t) for t in texts], "h string, norm string")
+    base = clusters._shingled(df, 3)
+    sketches = {r["h"]: r["s"][:6] for r in base.collect()}
+    want = set()
+    for u in texts:
+        for v in texts:
+            if u < v and min(len(u), len(v)) >= 0.8 * max(len(u), len(v)):
+                if len(set(sketches[u]) & set(sketches[v])) >= (1 if len(sketches[v]) < 4 else 2):
+                    want.add((u, v))
+    got = [tuple(r) for r in clusters.fuzzy_candidates(base, 0.8, 3, 6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_cluster_audit(spark):
+    base = "甲把雨伞放在门卫室然后离开了学校乙没有看见甲的举动于是继续在仓库里寻找那把旧的雨伞直到天黑"
+    df = spark.createDataFrame([(1, base + "才回家"), (2, base + "才回来"), (3, "另一个故事讲的是集市上的摊贩"), (4, ""), (5, base + "才，回家！")], "id bigint, story string")
+    r = clusters.cluster_audit(df, "id", F.col("story"), 0.70, 3, 10).first()
+    assert (r["rows"], r["exact_stories"], r["clusters"], r["merged_stories"], r["candidate_pairs_compared"], r["rows_in_shared_clusters"]) == (5, 4, 3, 1, 1, 3)
+    assert clusters.cluster_audit(df, "id", F.col("story"), 1.0).first()["candidate_pairs_compared"] == 0
+
+
 def test_split_keeps_clusters_and_covers_dimensions(spark):
     rng = random.Random(4)
     rows = [(i, f"c{i // 3}", rng.choice("xyz")) for i in range(120)] + [(900, None, "x")]
@@ -221,7 +251,15 @@ def test_token_rows(spark):
     df = spark.createDataFrame([(1, [1, 2, 3, 4], [-100, -100, 3, 4]), (2, [5, 6, 7], [5, -100, -100])], "id int, input_ids array<int>, labels array<int>")
     left = {r["id"]: r for r in training.truncated(df, 2).collect()}
     assert left[1]["labels"] == [3, 4] and left[2]["dropped"]
-    right = {r["id"]: r for r in training.truncated(df, 2, "right").collect()}
+    right = {r["id"]: r for r in training.truncated(df, 2, "keep_right").collect()}
+    dead = spark.createDataFrame([(3, [1], [-100]), (4, None, None)], df.schema)
+    assert {r["dropped"] for r in training.truncated(dead, 2).collect()} == {False}  # short rows stay as they are
+    assert training.truncated(df, 4, "error").count() == 2
+    for bad in (training.truncated(df, 3, "error"), training.truncated(df, 2, "right", strict=True)):
+        with pytest.raises(Exception, match="more than 3 ids|no trainable label"):
+            bad.collect()
+    with pytest.raises(ValueError):
+        training.truncated(df, 2, "middle")
     assert right[1]["dropped"] and right[2]["input_ids"] == [5, 6]
     assert {r["id"]: r["dropped"] for r in training.truncated(df, 3, "drop").collect()} == {1: True, 2: False}
     pad = {r["id"]: r for r in training.padded(df.withColumn("b", F.lit(0)), "b", 8).collect()}
@@ -230,6 +268,23 @@ def test_token_rows(spark):
     assert df.select(training.assistant_labels(F.col("input_ids"), spans)).first()[0] == [-100, 2, 3, -100]
 
 
+def test_template_labels(spark):
+    m = "messages array<struct<role: string, content: string>>"
+    chats = [([("user", "ab"), ("assistant", "cd"), ("user", "e"), ("assistant", "f")],), ([("user", "x")],), (None,)]
+    df = spark.createDataFrame(chats, m)
+    mark = {"user": 1, "assistant": 2}
+
+    def render(chat, opening):
+        ids = [i for t in chat for i in (mark[t["role"]], *t["content"].encode(), 0)]
+        return ids + [2] if opening else ids
+
+    got = df.select(training.template_tokens("messages", render).alias("t")).select("t.*").collect()
+    assert got[0]["labels"] == [-100] * 5 + [99, 100, 0] + [-100] * 4 + [102, 0] and got[0]["error"] is None
+    assert got[1]["labels"] is None and got[1]["error"] == got[2]["error"] == "no_trainable_label"
+    shifting = df.select(training.template_tokens("messages", lambda chat, opening: [len(chat), *render(chat, opening)]).alias("t")).select("t.error").collect()
+    assert shifting[0][0] == "unstable_before_answer"
+
+
 def test_grouped_loss(spark):
     df = spark.createDataFrame([("Q1", "a", 10.0, 10.0), ("Q2", "b", 10.0, 1.0), (None, "a", 0.0, 0.0)], "qtype string, dimension string, loss_sum double, token_count double")
     got = {(r["kind"], r["name"]): r["loss"] for r in training.grouped_loss(df).collect()}
@@ -242,6 +297,16 @@ def test_length_summary(spark):
     r = quality.length_summary(df, "n").first()
     assert (r["count"], r["min"], r["median"], r["p95"], r["p99"], r["max"]) == (100, 1, 50.5, 95, 99, 100)
     assert quality.length_summary(df.where("false"), "n").first()["count"] == 0
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold", None]), rng.choice([None, round(rng.random(), 2)])) for _ in range(600)] + [("none", None)]
+    got = {r["g"]: r for r in quality.length_summary(spark.createDataFrame(rows, "g string, x double"), "x", "g").collect()}
+    assert got["none"]["count"] == 0 and got["none"]["p95"] is None
+    for g in ("hot", "cold", None):
+        xs = sorted(x for k, x in rows if k == g and x is not None)
+        n = len(xs)
+        rank = lambda q: xs[-(-n * q // 100) - 1]
+        want = (n, xs[0], (xs[(n - 1) // 2] + xs[n // 2]) / 2, rank(95), rank(99), xs[-1])
+        assert tuple(got[g])[1:] == pytest.approx(want), g
 
 
 def test_provenance(spark):
