@@ -31,7 +31,7 @@ def template_tokens(messages, render: Callable[[list, bool], Sequence[int]]):
 
     ``render(messages, generation_prompt)`` gives the ids of a conversation, with the opening of the next answer if asked.  An
     answer's labels run from the ids of what precedes it, with that opening, to the ids through it; both must be prefixes of the whole,
-    else the template is not stable and ``error`` says where; then, and without a trainable id, labels are null.  An
+    else the template is not stable, ``error`` says where, and labels are null.  A conversation without a trainable id has that as its error.  An
     opening that ``render`` does not give belongs to the answer.
     """
 
@@ -49,7 +49,7 @@ def template_tokens(messages, render: Callable[[list, bool], Sequence[int]]):
             if len(stop) <= len(start):
                 return ids, None, "empty_answer"
             labels[len(start) : len(stop)] = ids[len(start) : len(stop)]
-        return (ids, labels, None) if any(x != IGNORED for x in labels) else (ids, None, "no_trainable_label")
+        return ids, labels, None if any(x != IGNORED for x in labels) else "no_trainable_label"
 
     def batch(chats: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(chat) for chat in chats], columns=["input_ids", "labels", "error"])
@@ -58,8 +58,9 @@ def template_tokens(messages, render: Callable[[list, bool], Sequence[int]]):
 
 
 def dataset_stats(rows: DataFrame, limit: int, strategy: str, *by: str) -> DataFrame:
-    """Rows, kept and dropped ones and the longest, per ``by``."""
+    """Rows, kept and dropped ones (by the cut, or without any trainable label) and the longest, per ``by``."""
     cut = truncated(rows, limit, strategy)
+    cut = cut.withColumn("dropped", F.col("dropped") | ~F.coalesce(F.exists("labels", lambda x: x != IGNORED), F.lit(False)))
     return cut.groupBy(*by).agg(
         F.count("*").alias("rows"), F.count_if(~F.col("dropped")).alias("kept"), F.count_if("dropped").alias("dropped"),
         F.max(F.size("input_ids")).alias("longest"), F.sum(F.size(F.filter("labels", lambda x: x != IGNORED))).alias("trainable"),

@@ -280,7 +280,7 @@ def test_template_labels(spark):
 
     got = df.select(training.template_tokens("messages", render).alias("t")).select("t.*").collect()
     assert got[0]["labels"] == [-100] * 5 + [99, 100, 0] + [-100] * 4 + [102, 0] and got[0]["error"] is None
-    assert got[1]["labels"] is None and got[1]["error"] == got[2]["error"] == "no_trainable_label"
+    assert got[1]["labels"] == [-100] * 3 and got[1]["error"] == got[2]["error"] == "no_trainable_label"
     shifting = df.select(training.template_tokens("messages", lambda chat, opening: [len(chat), *render(chat, opening)]).alias("t")).select("t.error").collect()
     assert shifting[0][0] == "unstable_before_answer"
 
