@@ -87,6 +87,23 @@ def seed_summary(compared: DataFrame) -> DataFrame:
     )
 
 
+def weighted_comparison(compared: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """Per seed: fixed-weight scores of both runs from the primary groups and their difference.
+
+    Scores are null unless every weighted group is there; weights are never renormalised.
+    """
+    table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
+    rows = compared.where("seed IS NOT NULL AND group_kind = 'primary' AND total > 0").withColumn("w", F.try_element_at(table, F.col("group_value")) / F.lit(sum(weights.values())))
+    per = rows.where("w IS NOT NULL").groupBy("seed").agg(
+        F.count("*").alias("groups"), F.sum(F.col("baseline_accuracy") * F.col("w")).alias("b"), F.sum(F.col("candidate_accuracy") * F.col("w")).alias("c")
+    )
+    full = F.col("groups") == len(weights)
+    return per.select(
+        "seed", "groups", full.alias("complete"), F.when(full, F.round("b", 8)).alias("baseline_score"), F.when(full, F.round("c", 8)).alias("candidate_score"),
+        F.when(full, F.round(F.col("c") - F.col("b"), 8)).alias("delta"),
+    )
+
+
 def protocol_gaps(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """Differences of two runs' protocols: seeds, samples and per-key facts, all reported together."""
     def facts(df: DataFrame) -> DataFrame:

@@ -124,6 +124,16 @@ def over_seeds(metrics: DataFrame, value: str = "accuracy", by: tuple[str, ...]
     )
 
 
+def policies_over_seeds(metrics: DataFrame, by: tuple[str, ...] = ("run_id", "group_kind", "group_value")) -> DataFrame:
+    """``over_seeds`` of the accuracies and parse rates under the reported, safe and mapped policies."""
+    rates = F.array(*(
+        F.struct(F.lit(policy).alias("policy"), F.lit(rate).alias("rate"), F.col(prefix + rate).alias("value"))
+        for policy, prefix in (("reported", ""), ("safe", "safe_"), ("mapped", "mapped_")) for rate in ("accuracy", "parse_rate")
+    ))
+    flat = metrics.select(*by, "seed", F.explode(rates).alias("x")).select(*by, "seed", "x.*")
+    return over_seeds(flat, "value", (*by, "policy", "rate"))
+
+
 def dimension_coverage(rows: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Rows with known and unknown dimensions, coverage, distinct fine dimensions and primaries."""
     s = scored(rows)
@@ -134,6 +144,7 @@ def dimension_coverage(rows: DataFrame, by: tuple[str, ...] = ("run_id",)) -> Da
         F.count_if(~known).alias("unknown"),
         _rate(F.count_if(known), F.count("*")).alias("coverage"),
         F.count_distinct(F.when(known, F.col("fine"))).alias("fine_dimensions"),
+        F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("fine")))), ",").alias("fine_names"),
         F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("main")))), ",").alias("primaries"),
     )
 

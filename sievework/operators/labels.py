@@ -161,3 +161,23 @@ def yes_no_meaning(records: DataFrame, prompt: Column, gold: Column, id_: str) -
     every = flat.select(id_).join(per, id_, "left")
     error = F.when(F.col("n").isNull(), "not_three_options").otherwise(error)
     return every.select(id_, error.alias("error"), F.when(error.isNull(), F.try_element_at(hit, F.lit(1))["meaning"]).alias("meaning"))
+
+
+def meaning_coverage(meanings: DataFrame) -> DataFrame:
+    """Rows per meaning, or per error where there is none."""
+    return meanings.groupBy(F.coalesce("error", F.lit("mapped")).alias("outcome"), F.coalesce("meaning", F.lit("")).alias("meaning")).agg(F.count("*").alias("rows"))
+
+
+def require_meanings(meanings: DataFrame, id_: str, examples: int = 5) -> None:
+    """Raises if any item has no meaning, with the number of such items and some of them."""
+    bad = meanings.where("error IS NOT NULL")
+    some = bad.orderBy(id_).limit(examples).collect()
+    if some:
+        raise ValueError(f"{bad.count()} items without a meaning: " + ", ".join(f"{r[id_]} ({r['error']})" for r in some))
+
+
+def incomplete_bundles(audited: DataFrame, cluster: str = "story", policy: str = "agreement_only") -> DataFrame:
+    """Usable items of clusters that are not usable as a whole, with the issue ``incomplete_safe_story_bundle`` added."""
+    whole = complete_bundles(audited, cluster, policy).select("public_line")
+    rest = usable(audited, policy).join(whole, "public_line", "left_anti")
+    return rest.withColumn("issues", F.array_append("issues", F.lit("incomplete_safe_story_bundle")))

@@ -67,3 +67,31 @@ def repository_errors(files: DataFrame, index: DataFrame, required: list[str], f
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+#: Names of the files that a release holds, beside weights, their index and tokenizer files.
+RELEASE_FILES = r"(^|/)(?:[^/]*\.safetensors|[^/]*\.safetensors\.index\.json|tokenizer[^/]*)$"
+
+
+def included(files: DataFrame, exact: list[str], patterns: str = RELEASE_FILES) -> DataFrame:
+    """The files of an allow-list: by name, or by pattern."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where(name.isin(exact) | F.col("path").rlike(patterns))
+
+
+#: Names of adapters and of quantised weights, which a full model does not hold.
+FOREIGN_WEIGHTS = r"(^|/)(?:adapter_config\.json|adapter_model[^/]*|[^/]*(?:4bit|gptq|awq)[^/]*)$"
+BF16 = ("bfloat16", "bf16", "torch.bfloat16")
+
+
+def model_config_errors(config: dict, tokenizer: dict, model_type: str | None = None) -> list[str]:
+    """What a merged model's configuration objects (one file each) say against its release."""
+    kind = config.get("torch_dtype", config.get("dtype"))
+    rules = {
+        "other_model_type": model_type is not None and config.get("model_type") != model_type,
+        "dtype_not_bfloat16": str(kind).lower() not in BF16,
+        "declares_quantization": config.get("quantization_config") is not None or bool(config.get("load_in_4bit")),
+        "no_architectures": not isinstance(config.get("architectures"), list) or not config["architectures"],
+        "no_chat_template": not tokenizer.get("chat_template"),
+    }
+    return [name for name, broken in rules.items() if broken]

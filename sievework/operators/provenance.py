@@ -16,6 +16,12 @@ def source_key(sample_id: Column, source_line: Column, record: Column) -> Column
     return F.when(parts != "", parts).otherwise(F.concat(F.lit("sha256:"), F.sha2(F.to_json(record), 256)))
 
 
+def record_field(top: Column, nested: Column, default: str = "unknown", top_first: bool = True) -> Column:
+    """A field that a record can hold itself or in its metadata: the first that is filled, else the default."""
+    filled = [F.nullif(F.trim(c), F.lit("")) for c in ((top, nested) if top_first else (nested, top))]
+    return F.coalesce(*filled, F.lit(default))
+
+
 def record_metadata(records: DataFrame) -> DataFrame:
     """``(_source_line, sample_id, qtype, dimension)`` with the nested fields first and defaults for absent ones."""
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from sievework.functions.messages import MULTI_PROMPT, SINGLE_PROMPT
 from sievework.functions.values import MISSING
 from sievework.operators.labels import MEANINGS
@@ -64,6 +66,7 @@ ORACLE["seed_summary"] = f"""WITH {GROUPED} SELECT run_id, group_kind, group_val
 min(accuracy) AS min, max(accuracy) AS max FROM metrics GROUP BY ALL"""
 ORACLE["dimension_coverage"] = f"""WITH {LAST}, {SCORED} SELECT run_id, count(*) AS total, count(*) FILTER (fine <> 'unknown') AS known, count(*) FILTER (fine = 'unknown') AS unknown,
 {_rate("count(*) FILTER (fine <> 'unknown')", 'count(*)')} AS coverage, count(DISTINCT fine) FILTER (fine <> 'unknown') AS fine_dimensions,
+array_to_string(list_sort(list(DISTINCT fine) FILTER (fine <> 'unknown')), ',') AS fine_names,
 array_to_string(list_sort(list(DISTINCT main) FILTER (fine <> 'unknown')), ',') AS primaries FROM scored GROUP BY run_id"""
 STABLE = f"""{LAST}, votes AS (SELECT run_id, sample_id, {_text('predicted_letters')} AS vote, count(*) AS n, any_value(predicted_letters) AS letters FROM last GROUP BY ALL),
 meta AS (SELECT run_id, sample_id, arg_min(coalesce(qtype, '<null>'), seed) AS qtype, arg_min({FINE}, seed) AS dimension, arg_min(gold_letters, seed) AS gold,
@@ -100,11 +103,12 @@ ORACLE["paired_seed_summary"] = f"""WITH {PAIRS} SELECT group_kind, group_value,
 round(avg(wins / total), 8) AS win_share, round(avg(losses / total), 8) AS loss_share FROM compared WHERE seed IS NOT NULL GROUP BY ALL"""
 ORACLE["paired_metadata_differences"] = f"WITH {PAIRS} SELECT qtype, count(*) AS pairs, count(*) FILTER (differs) AS different FROM pairs GROUP BY qtype"
 ORACLE["protocol_gaps"] = f"""WITH {LAST}, f AS (SELECT DISTINCT run_id, 'seed' AS fact, CAST(seed AS VARCHAR) AS value FROM last UNION SELECT DISTINCT run_id, 'sample_id', sample_id FROM last),
-a AS (SELECT fact, value FROM f WHERE run_id = '{BASELINE}'), b AS (SELECT fact, value FROM f WHERE run_id = '{CANDIDATE}')
+a AS (SELECT fact, value FROM f WHERE run_id = '{BASELINE}'), 
+s AS (SELECT * FROM last WHERE run_id = '{CANDIDATE}' AND safe_gold), b AS (SELECT 'seed' AS fact, CAST(seed AS VARCHAR) AS value FROM s UNION SELECT 'sample_id', sample_id FROM s)
 SELECT *, 'baseline' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'candidate' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
 ORACLE["latency_summary"] = """SELECT run_id, seed, count(latency_seconds) AS count, min(latency_seconds) AS min, median(latency_seconds) AS median, quantile_disc(latency_seconds, 0.95) AS p95,
 quantile_disc(latency_seconds, 0.99) AS p99, max(latency_seconds) AS max FROM predictions GROUP BY ALL"""
-ORACLE["token_usage_loss"] = f"""WITH {LAST}, r AS (SELECT coalesce(nullif(trim(qtype), ''), 'unknown') AS q, {FINE} AS d, latency_seconds AS l, CAST(usage['completion_tokens'] AS DOUBLE) AS t FROM last),
+ORACLE["grouped_latency_per_token"] = f"""WITH {LAST}, r AS (SELECT coalesce(nullif(trim(qtype), ''), 'unknown') AS q, {FINE} AS d, latency_seconds AS l, CAST(usage['completion_tokens'] AS DOUBLE) AS t FROM last),
 k AS (SELECT * FROM r WHERE l IS NOT NULL AND t IS NOT NULL), g AS (SELECT 'overall' AS kind, 'all' AS name, l, t FROM k UNION ALL SELECT 'qtype', q, l, t FROM k UNION ALL SELECT 'dimension', d, l, t FROM k),
 p AS (SELECT kind, name, sum(l) / sum(t) AS loss, sum(t) AS tokens FROM g GROUP BY ALL HAVING sum(t) > 0)
 SELECT kind, name, round(loss, 8) AS loss, tokens::BIGINT AS tokens FROM p UNION ALL SELECT 'macro_' || kind, 'all', round(avg(loss), 8), sum(tokens)::BIGINT FROM p WHERE kind <> 'overall' GROUP BY kind"""
@@ -148,7 +152,7 @@ quantile_disc(n, 0.95)::DOUBLE AS p95, quantile_disc(n, 0.99)::DOUBLE AS p99, ma
 ORACLE["duplicate_sample_ids"] = """WITH k AS (SELECT sample_id, count(*) AS n FROM train_records WHERE sample_id IS NOT NULL GROUP BY 1)
 SELECT count(*) AS distinct_values, count(*) FILTER (n > 1) AS repeated_values, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS rows_in_repeats FROM k"""
 ORACLE["qtype_distribution"] = "SELECT coalesce(meta.qtype, 'missing') AS question_type, coalesce(source, 'missing') AS source, count(*) AS rows FROM train_records GROUP BY ALL"
-ORACLE["answer_token_audit"] = f"""WITH r AS (SELECT split_name, {_of('assistant')} AS a FROM train_records) SELECT split_name, count(*) AS rows, quantile_disc(length(a), 0.5) AS p50, quantile_disc(length(a), 0.95) AS p95, quantile_disc(length(a), 0.99) AS p99,
+ORACLE["answer_char_audit"] = f"""WITH r AS (SELECT split_name, {_of('assistant')} AS a FROM train_records) SELECT split_name, count(*) AS rows, quantile_disc(length(a), 0.5) AS p50, quantile_disc(length(a), 0.95) AS p95, quantile_disc(length(a), 0.99) AS p99,
 max(length(a)) AS max, count(*) FILTER (length(a) > 250) AS overlength, count(*) FILTER (NOT contains(a, '</think>')) AS without_think_end, count(*) FILTER (NOT contains(a, '\\boxed{{')) AS without_box FROM r GROUP BY split_name""".replace("\\\\", "\\")
 ORACLE["source_metric_names"] = """SELECT CASE WHEN k = '' THEN 'unknown' ELSE k END AS name, count(*) AS rows FROM (SELECT trim(regexp_replace(coalesce(source, ''), '[^0-9A-Za-z_.-]+', '_', 'g'), '_') AS k FROM documents) GROUP BY ALL"""
 ORACLE["document_length_summary"] = """SELECT coalesce(lang, 'missing') AS lang, count(n_chars) AS count, min(n_chars)::DOUBLE AS min, median(n_chars) AS median, quantile_disc(n_chars, 0.95)::DOUBLE AS p95, quantile_disc(n_chars, 0.99)::DOUBLE AS p99,
@@ -220,7 +224,19 @@ def _category(x: str) -> str:
     return f"CASE WHEN lower({v}) NOT IN ({_FILL}) THEN upper({v}) END"
 
 
-ROWS = f"""firsts AS (SELECT sample_id, coalesce({_category('dimension')}, 'missing') AS dimension FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY split_row_id) AS rn FROM split_rows) WHERE rn = 1),
+def _reference(x: str) -> str:
+    v = f"lower(regexp_replace({x}, '{_EDGE}', '', 'g'))"
+    return f"CASE WHEN {v} NOT IN ({_FILL}) AND NOT regexp_full_match({v}, '([a-z]+[_/:-])?0+') THEN {v} END"
+
+
+def _letter_list(x: str) -> str:
+    each = f"upper(regexp_replace(translate(v, '{_W2}', '{_N2}'), '{_EDGE}', '', 'g'))"
+    return f"list_sort(list_distinct(list_filter(list_transform(coalesce({x}, []), lambda v: {each}), lambda v: regexp_full_match(v, '[A-Z]'))))"
+
+
+ROWS = f"""keyed AS (SELECT * EXCLUDE (sample_id), coalesce({_reference('sample_id')}, 'row-' || split_row_id) AS sample_id FROM split_rows),
+firsts AS (SELECT sample_id, {_reference('story_cluster_id')} AS cluster, coalesce({_category('dimension')}, 'missing') AS dimension, {_category('question_type')} AS question_type, {_letter_list('gold_letters')} AS gold
+FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY split_row_id) AS rn FROM keyed) WHERE rn = 1),
 dims AS (SELECT dimension AS key, count(*) AS n FROM firsts GROUP BY 1)"""
 ORACLE["balanced_sample"] = f"""WITH {ROWS}, t AS (SELECT greatest(1, round_even(median(n), 0))::BIGINT AS target FROM dims),
 r AS (SELECT f.*, n, target, row_number() OVER (PARTITION BY dimension ORDER BY sha256('42:' || dimension || ':' || sample_id)) - 1 AS r FROM firsts f JOIN dims d ON f.dimension = d.key, t),
@@ -230,7 +246,8 @@ ORACLE["replay_quota"] = f"""WITH {ROWS}, k AS (SELECT key, count(*) OVER () AS
 SELECT key, 2087 // m + CASE WHEN r <= 2087 - (2087 // m) * m THEN 1 ELSE 0 END AS quota FROM k"""
 ORACLE["quota_summary"] = f"""WITH {ROWS}, k AS (SELECT key, count(*) OVER () AS m, row_number() OVER (ORDER BY sha256('42:dimension-remainder:' || key)) AS r FROM dims),
 q AS (SELECT 2087 // m + CASE WHEN r <= 2087 - (2087 // m) * m THEN 1 ELSE 0 END AS quota FROM k) SELECT count(*) AS groups, sum(quota)::BIGINT AS rows, min(quota) AS min, max(quota) AS max, max(quota) - min(quota) AS spread FROM q"""
-ORACLE["waterfill_quota"] = f"""WITH {ROWS}, c AS (SELECT key, n * 2 AS capacity, n % 7 AS baseline, sha256('42:dimension-waterfill:q3:' || key) AS h FROM dims),
+ORACLE["waterfill_quota"] = f"""WITH {ROWS}, k AS (SELECT key, count(*) OVER () AS m, row_number() OVER (ORDER BY sha256('42:dimension-remainder:' || key)) AS r FROM dims),
+c AS (SELECT dims.key, n * 2 AS capacity, 2087 // m + CASE WHEN r <= 2087 - (2087 // m) * m THEN 1 ELSE 0 END AS baseline, sha256('42:dimension-waterfill:q3:' || dims.key) AS h FROM dims JOIN k USING (key)),
 u AS (SELECT key, baseline, h, unnest(generate_series(0, least(capacity, 447) - 1)) AS k FROM c), t AS (SELECT * FROM u ORDER BY k, baseline + k, h LIMIT 447)
 SELECT c.key, count(t.key) AS quota FROM c LEFT JOIN t ON c.key = t.key GROUP BY c.key"""
 ORACLE["bucket_budgets"] = """WITH e AS (SELECT source AS key, target_permille / 1000 * 2983 AS x FROM mix_targets), b AS (SELECT key, floor(x)::BIGINT AS base, round(x - floor(x), 9) AS f FROM e)
@@ -245,3 +262,80 @@ ORACLE["manifest_first_failures"] = f"WITH {_FILES} SELECT path, arg_min(error,
 ORACLE["repository_errors"] = """WITH f AS (SELECT doc_kind || '/' || doc_id || '.safetensors' AS path FROM documents), i AS (SELECT 'story/' || doc_id || '.safetensors' AS path FROM documents WHERE lang = 'zh')
 SELECT 'config.json' AS path, 'required_missing' AS error UNION ALL SELECT path, 'forbidden' FROM f WHERE path LIKE 'note/%' UNION ALL SELECT path, 'shard_missing' FROM (SELECT path FROM i EXCEPT SELECT path FROM f)
 UNION ALL SELECT path, 'not_in_index' FROM (SELECT path FROM f EXCEPT SELECT path FROM i)"""
+
+ORACLE["train_dev_facts"] = f"""WITH {ROWS} SELECT count(*) AS rows, count(DISTINCT cluster) AS clusters, count(*) FILTER (cluster IS NULL) AS rows_without_cluster, 0 AS of_them_in_dev, true AS has_dev, 0 AS divided_clusters FROM firsts"""
+ORACLE["train_dev_leakage"] = "SELECT CAST(NULL AS VARCHAR) AS story_cluster_id, CAST(0 AS BIGINT) AS splits WHERE false"
+ORACLE["policy_seed_summary"] = "WITH " + GROUPED + ", x AS (" + " UNION ALL ".join(
+    f"SELECT run_id, group_kind, group_value, '{policy}' AS policy, '{rate}' AS rate, {prefix}{rate} AS v FROM metrics" for policy, prefix in (("reported", ""), ("safe", "safe_"), ("mapped", "mapped_")) for rate in ("accuracy", "parse_rate")
+) + ") SELECT run_id, group_kind, group_value, policy, rate, count(*) AS seeds, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, min(v) AS min, max(v) AS max FROM x GROUP BY ALL"
+_W = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())
+ORACLE["weighted_comparison"] = f"""WITH {PAIRS}, w AS (SELECT seed, baseline_accuracy * (CASE group_value {_W} END) / {sum(WEIGHTS.values())} AS b, candidate_accuracy * (CASE group_value {_W} END) / {sum(WEIGHTS.values())} AS c
+FROM compared WHERE seed IS NOT NULL AND group_kind = 'primary' AND total > 0 AND group_value IN ({", ".join(f"'{k}'" for k in WEIGHTS)})), s AS (SELECT seed, count(*) AS groups, sum(b) AS b, sum(c) AS c FROM w GROUP BY seed)
+SELECT seed, groups, groups = {len(WEIGHTS)} AS complete, CASE WHEN groups = {len(WEIGHTS)} THEN round(b, 8) END AS baseline_score, CASE WHEN groups = {len(WEIGHTS)} THEN round(c, 8) END AS candidate_score,
+CASE WHEN groups = {len(WEIGHTS)} THEN round(c - b, 8) END AS delta FROM s"""
+ORACLE["accepted_records"] = f"""WITH {FIELDS} SELECT _source_line, sample_id, array_to_string(gold, ',') AS gold_letters, dimension, question_type, sha256(story) AS story_sha, length(answer) AS answer_chars,
+len(regexp_extract_all(answer, '(?i)\\\\boxed\\s*\\{{[^{{}}]*\\}}')) AS boxes FROM f2 WHERE len(reasons) = 0"""
+ORACLE["cleaning_dimensions"] = f"WITH {FIELDS} SELECT dimension, count(*) AS rows, count(*) FILTER (len(reasons) = 0) AS accepted FROM f2 GROUP BY dimension"
+ORACLE["yes_no_coverage"] = f"SELECT coalesce(error, 'mapped') AS outcome, coalesce(meaning, '') AS meaning, count(*) AS rows FROM ({ORACLE['yes_no_meanings']}) GROUP BY ALL"
+ORACLE["release_files"] = """WITH f AS (SELECT doc_kind || '/' || CASE WHEN doc_kind = 'note' THEN 'tokenizer-' ELSE 'part-' END || doc_id || CASE lang WHEN 'zh' THEN '.safetensors' WHEN 'en' THEN '.safetensors.index.json' ELSE '.txt' END AS path FROM documents)
+SELECT path FROM f WHERE path LIKE '%.safetensors' OR path LIKE '%.safetensors.index.json' OR path LIKE '%/tokenizer%'"""
+
+#: Compatibility forms of single characters, for SQL engines without NFKC; the table is built from Unicode data.
+_FORMS = {
+    chr(c): f
+    for c in range(0xA0, 0x10000)
+    if not 0xD800 <= c < 0xE000 and len(f := unicodedata.normalize("NFKC", chr(c))) == 1 and f != chr(c) and f.isalnum()
+}
+
+
+def _clusters(source: str, id_: str, prefix: str) -> str:
+    """Exact and near stories by comparing all pairs that share a piece, and their components."""
+    return f"""{source}, n AS (SELECT {id_}, regexp_replace(lower(translate(nfc_normalize(story), '{"".join(_FORMS)}', '{"".join(_FORMS.values())}')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS x FROM st),
+d AS (SELECT DISTINCT x, sha256(x) AS h FROM n WHERE x <> ''), s AS (SELECT DISTINCT h, substr(x, i, 5) AS p FROM (SELECT h, x, unnest(range(1, greatest(2, length(x) - 3))) AS i FROM d)),
+z AS (SELECT h, count(*) AS k FROM s GROUP BY h), c AS (SELECT a.h AS a, b.h AS b, count(*) AS c FROM s a JOIN s b ON a.p = b.p AND a.h < b.h GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN z x ON x.h = a JOIN z y ON y.h = b WHERE c >= 0.92 * (x.k + y.k - c)), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT h AS start, h AS node FROM d UNION SELECT start, b FROM reach JOIN both_ways ON node = a), g AS (SELECT start, min(node) AS root FROM reach GROUP BY start),
+o AS (SELECT {id_}, x, sha256(CASE WHEN x = '' THEN '__missing_story_' || {id_} ELSE x END) AS h FROM n)
+SELECT {id_}, '{prefix}_' || left(coalesce(root, h), 16) AS story_cluster_id, 'exact_' || left(h, 16) AS story_exact_id FROM o LEFT JOIN g ON start = h"""
+
+
+ORACLE["story_clusters"] = f"WITH RECURSIVE {FIELDS}, " + _clusters("st AS (SELECT _source_line, story FROM f1)", "_source_line", "story")
+ORACLE["public_story_clusters"] = "WITH RECURSIVE " + _clusters("st AS (SELECT public_line, coalesce(story, '') AS story FROM public_records)", "public_line", "public_story")
+
+# ---- the calibration mix
+
+
+def _fill(name: str, source: str, cap: int, count: int, label: str, shared: str, baseline: str) -> str:
+    """Water-filled quotas: the cheapest units over all keys."""
+    return f"""{name}_c AS (SELECT dimension AS key, count(*) * {cap} AS capacity, sha256('42:dimension-waterfill:{label}:' || dimension) AS h, {shared} AS shared, {baseline} AS base FROM {source} GROUP BY dimension),
+{name}_u AS (SELECT key, h, shared, base, unnest(generate_series(0, least(capacity, {count}) - 1)) AS k FROM {name}_c), {name}_t AS (SELECT key FROM {name}_u ORDER BY shared + k, base + shared + k, h LIMIT {count}),
+{name} AS (SELECT c.key, (SELECT count(*) FROM {name}_t t WHERE t.key = c.key) AS quota FROM {name}_c c)"""
+
+
+_of_key = lambda *names: " + ".join(f"coalesce((SELECT any_value(quota) FROM {n} WHERE {n}.key = dimension), 0)" for n in names)
+_ALL_MEANINGS = ORACLE["yes_no_meanings"].replace(" WHERE upper(trim(meta.qtype)) = 'Q3'", "")
+_MIX = f"""{ROWS}, m AS (SELECT sample_id, arg_min(meaning, _source_line) AS meaning FROM (SELECT {_reference('r.sample_id')} AS sample_id, y._source_line, meaning FROM ({_ALL_MEANINGS}) y JOIN train_records r USING (_source_line)
+WHERE meaning IS NOT NULL) GROUP BY sample_id), t AS (SELECT f.*, m.meaning FROM firsts f LEFT JOIN m ON f.sample_id = m.sample_id),
+k AS (SELECT key, count(*) OVER () AS m, row_number() OVER (ORDER BY sha256('42:dimension-remainder:' || key)) AS r FROM dims), replay AS (SELECT key, 2088 // m + CASE WHEN r <= 2088 - (2088 // m) * m THEN 1 ELSE 0 END AS quota FROM k),
+one AS (SELECT * FROM t WHERE question_type = 'Q2' AND len(gold) = 1), more AS (SELECT * FROM t WHERE question_type = 'Q2' AND len(gold) = (SELECT min(len(gold)) FROM t WHERE question_type = 'Q2' AND len(gold) > 1)),
+unsure AS (SELECT * FROM t WHERE question_type = 'Q3' AND meaning = 'uncertain'),
+{_fill('q2_single', 'one', 4, 313, 'q2-single', '0', _of_key('replay'))}, {_fill('q2_several', 'more', 2, 134, 'q2-several', _of_key('q2_single'), _of_key('replay'))},
+{_fill('q3_uncertain', 'unsure', 2, 447, 'q3-uncertain', '0', _of_key('replay', 'q2_single', 'q2_several'))}"""
+
+
+def _taken(no: int, bucket: str, part: str, source: str, cap: int) -> str:
+    return f"""SELECT {no} AS no, '{bucket}' AS bucket, '{part}' AS part, sample_id, dimension, question_type, o, unnest(generate_series(0, least({cap}, CAST(ceil((quota - r) / n) AS BIGINT)) - 1)) AS occurrence
+FROM (SELECT s.*, q.quota, count(*) OVER (PARTITION BY dimension) AS n, row_number() OVER (PARTITION BY dimension ORDER BY sha256('42:{part}:' || sample_id)) - 1 AS r, sha256('42:{part}:' || sample_id) AS o
+FROM {source} s JOIN {part} q ON q.key = s.dimension) WHERE r < quota"""
+
+
+_INSTANCES = f"""{_MIX}, taken AS ({_taken(0, 'balanced_replay', 'replay', 't', 1048576)} UNION ALL {_taken(1, 'q2_low_cardinality', 'q2_single', 'one', 4)} UNION ALL {_taken(2, 'q2_low_cardinality', 'q2_several', 'more', 2)}
+UNION ALL {_taken(3, 'q3_uncertain', 'q3_uncertain', 'unsure', 2)}), placed AS (SELECT *, row_number() OVER (ORDER BY no, dimension, occurrence, o, sample_id) - 1 AS ordinal FROM taken),
+mix AS (SELECT bucket, part, sample_id, dimension, question_type, occurrence, ordinal, row_number() OVER (PARTITION BY bucket, sample_id ORDER BY ordinal) - 1 AS occurrence_in_bucket,
+row_number() OVER (PARTITION BY sample_id ORDER BY ordinal) - 1 AS occurrence_in_output FROM placed)"""
+ORACLE["calibration_mix"] = f"""WITH {_INSTANCES} SELECT *, 's3_' || left(sha256('stage3:42:' || bucket || ':' || sample_id || ':' || occurrence_in_bucket || ':' || ordinal), 20) AS instance_id, sha256('3045:' || ordinal) AS shuffle_key FROM mix"""
+ORACLE["calibration_quotas"] = f"""WITH {_MIX} SELECT 'replay' AS part, key, quota FROM replay UNION ALL SELECT 'q2_single', * FROM q2_single UNION ALL SELECT 'q2_several', * FROM q2_several UNION ALL SELECT 'q3_uncertain', * FROM q3_uncertain"""
+ORACLE["calibration_audit"] = f"""WITH {_INSTANCES}, per AS (SELECT bucket, sample_id, count(*) AS n, any_value(dimension) AS dimension FROM mix GROUP BY ALL)
+SELECT bucket, sum(n)::BIGINT AS rows, count(*) AS samples, count(DISTINCT dimension) AS dimensions, max(n) AS most_uses FROM per GROUP BY bucket"""
+ORACLE["calibration_distribution"] = f"""WITH {_INSTANCES}, u AS (SELECT bucket, sample_id, count(*) AS n FROM mix GROUP BY ALL) SELECT bucket, 'question_type' AS kind, coalesce(question_type, 'unknown') AS value, count(*) AS rows FROM mix GROUP BY ALL
+UNION ALL SELECT bucket, 'dimension', dimension, count(*) FROM mix GROUP BY ALL UNION ALL SELECT bucket, 'uses', CAST(n AS VARCHAR), count(*) FROM u GROUP BY ALL"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import clusters, labels, quality, sampling, split
-from sievework.session import written
+from sievework.session import drop_written, written
 from sievework.sources import jsonl
 
 TRAIN_SCHEMA = (
@@ -107,7 +107,7 @@ def audit(outputs: dict[str, DataFrame], config: PrepareConfig) -> dict:
 def run(spark: SparkSession, train_path: str, public_path: str, out: str, config: PrepareConfig = PrepareConfig(), force: bool = False) -> dict:
     """Reads both JSON lines inputs, writes seven outputs and ``audit.json``; refuses to overwrite unless forced."""
     paths = {name: f"{out}/{name}" for name in ARTIFACTS}
-    jsonl.guard_outputs([*paths.values(), f"{out}/audit.json"], force)
+    jsonl.guard_outputs([*paths.values(), f"{out}/audit.json"], force, spark)
     train = jsonl.read_jsonl(spark, train_path, TRAIN_SCHEMA)
     public = jsonl.read_jsonl(spark, public_path, PUBLIC_SCHEMA).withColumnRenamed("_source_line", "public_line")
     outputs = prepare(train, public, config)
@@ -117,4 +117,5 @@ def run(spark: SparkSession, train_path: str, public_path: str, out: str, config
         "inputs": {r["path"].rpartition("/")[2]: r["sha256"] for p in (train_path, public_path) for r in jsonl.file_hashes(spark, p).collect()}
     }
     jsonl.write_report(Path(out) / "audit.json", report)
+    drop_written(spark)  # the outputs are stored
     return report

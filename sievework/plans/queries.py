@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sievework.functions.letters import boxed_answer, letters_az, option_letters
 from sievework.functions.messages import evaluation_messages, last_content
 from sievework.functions.text import metric_key, story_of
-from sievework.functions.values import category, letter_set
-from sievework.operators import clusters, compare, evalgrid, labels, manifest, provenance, quality, sampling, split, training
+from sievework.functions.values import category, letter_set, reference
+from sievework.operators import calibration, clusters, compare, evalgrid, labels, manifest, provenance, quality, sampling, split, training
 from sievework.streaming import prediction_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,11 @@ def seed_summary(spark, sf):
     return evalgrid.over_seeds(evalgrid.grouped_metrics(_last(spark, sf)))
 
 
+@query
+def policy_seed_summary(spark, sf):
+    return evalgrid.policies_over_seeds(evalgrid.grouped_metrics(_last(spark, sf)))
+
+
 @query
 def dimension_coverage(spark, sf):
     return evalgrid.dimension_coverage(_last(spark, sf))
@@ -171,7 +176,12 @@ def paired_metadata_differences(spark, sf):
 @query
 def protocol_gaps(spark, sf):
     last = _last(spark, sf)
-    return compare.protocol_gaps(last.where(F.col("run_id") == BASELINE), last.where(F.col("run_id") == CANDIDATE))
+    return compare.protocol_gaps(last.where(F.col("run_id") == BASELINE), last.where((F.col("run_id") == CANDIDATE) & F.col("safe_gold")))
+
+
+@query
+def weighted_comparison(spark, sf):
+    return compare.weighted_comparison(compare.comparison(_pairs(spark, sf)), WEIGHTS)
 
 
 @query
@@ -186,7 +196,7 @@ def latency_summary(spark, sf):
 
 
 @query
-def token_usage_loss(spark, sf):
+def grouped_latency_per_token(spark, sf):
     rows = _last(spark, sf).select(
         "qtype", "dimension", F.col("latency_seconds").alias("loss_sum"), F.try_element_at("usage", F.lit("completion_tokens")).cast("double").alias("token_count")
     )
@@ -210,7 +220,31 @@ def rejected_records(spark, sf):
 @query
 def accepted_records(spark, sf):
     a = quality.accepted(table(spark, sf, "train_records"))
-    return a.select("_source_line", "sample_id", F.array_join("gold_letters", ",").alias("gold_letters"), "dimension", "question_type", F.sha2("story", 256).alias("story_sha"), F.sha2(last_content(F.col("messages"), "assistant"), 256).alias("answer_sha"), F.col("_pipeline.original_boxed_count").alias("boxes"))
+    return a.select("_source_line", "sample_id", F.array_join("gold_letters", ",").alias("gold_letters"), "dimension", "question_type", F.sha2("story", 256).alias("story_sha"), F.col("_pipeline.original_answer_chars").alias("answer_chars"), F.col("_pipeline.original_boxed_count").alias("boxes"))
+
+
+@query
+def cleaned_answers(spark, sf):
+    a = quality.accepted(table(spark, sf, "train_records"))
+    return a.select("_source_line", F.sha2(last_content(F.col("messages"), "assistant"), 256).alias("answer_sha"), F.col("_pipeline.clean_answer_chars").alias("chars"))
+
+
+@query
+def cleaning_dimensions(spark, sf):
+    return quality.judged(table(spark, sf, "train_records")).groupBy("dimension").agg(F.count("*").alias("rows"), F.count_if(F.size("reasons") == 0).alias("accepted"))
+
+
+@query
+def incomplete_story_bundles(spark, sf):
+    return labels.incomplete_bundles(labels.audit(table(spark, sf, "public_records"))).select("public_line", F.array_join("issues", ",").alias("issues"))
+
+
+@query
+def release_files(spark, sf):
+    docs = table(spark, sf, "documents")
+    end = F.when(F.col("lang") == "zh", ".safetensors").when(F.col("lang") == "en", ".safetensors.index.json").otherwise(".txt")
+    name = F.when(F.col("doc_kind") == "note", F.lit("tokenizer-")).otherwise("part-")
+    return manifest.included(docs.select(F.concat(F.col("doc_kind"), F.lit("/"), name, "doc_id", end).alias("path")), ["config.json"])
 
 
 @query
@@ -256,7 +290,7 @@ def qtype_distribution(spark, sf):
 
 
 @query
-def answer_token_audit(spark, sf):
+def answer_char_audit(spark, sf):
     rows = table(spark, sf, "train_records").select("split_name", last_content(F.col("messages"), "assistant").alias("answer"))
     return training.token_audit(rows.withColumn("tokens", F.length("answer")), 250, "split_name")
 
@@ -365,17 +399,27 @@ def story_clusters(spark, sf):
     return clusters.story_clusters(rows, "_source_line", F.col("story"))
 
 
+@query
+def story_cluster_audit(spark, sf):
+    rows = table(spark, sf, "train_records").withColumn("story", story_of(last_content(F.col("messages"), "user")))
+    return clusters.cluster_audit(rows, "_source_line", F.col("story"))
+
+
 @query
 def public_story_clusters(spark, sf):
     return clusters.story_clusters(table(spark, sf, "public_records"), "public_line", F.col("story"), prefix="public_story")
 
 
 def _plain_split_rows(spark, sf):
+    """The first row of every sample; a row without a sample id is a sample of its own."""
     rows = table(spark, sf, "split_rows")
-    first = rows.groupBy("sample_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "sample_id"]), "split_row_id").alias("r"))
+    key = F.coalesce(reference(F.col("sample_id")), F.concat(F.lit("row-"), "split_row_id"))
+    first = rows.groupBy(key.alias("key")).agg(F.min_by(F.struct(*rows.columns), "split_row_id").alias("r"))
+    letters = letter_set(F.col("r.gold_letters"))
     return first.select(
-        "sample_id", "r.split_row_id", "r.story_cluster_id", F.coalesce(category(F.col("r.dimension")), F.lit("missing")).alias("dimension"),
-        category(F.col("r.question_type")).alias("question_type"), F.split(F.coalesce(letter_set(F.col("r.gold_letters")), F.lit("")), ",").alias("gold_letters"),
+        F.col("key").alias("sample_id"), "r.split_row_id", reference(F.col("r.story_cluster_id")).alias("story_cluster_id"),
+        F.coalesce(category(F.col("r.dimension")), F.lit("missing")).alias("dimension"), category(F.col("r.question_type")).alias("question_type"),
+        F.when(letters.isNull(), F.array().cast("array<string>")).otherwise(F.split(letters, ",")).alias("gold_letters"),
     )
 
 
@@ -389,6 +433,17 @@ def train_dev_leakage(spark, sf):
     return split.leakage(split.train_dev_split(_plain_split_rows(spark, sf)))
 
 
+@query
+def train_dev_facts(spark, sf):
+    """One row that holds for every valid split."""
+    rows = split.train_dev_split(_plain_split_rows(spark, sf))
+    clustered = F.col("story_cluster_id").isNotNull()
+    return rows.agg(
+        F.count("*").alias("rows"), F.count_distinct("story_cluster_id").alias("clusters"), F.count_if(~clustered).alias("rows_without_cluster"),
+        F.count_if(~clustered & (F.col("split") == "dev")).alias("of_them_in_dev"), (F.count_if(F.col("split") == "dev") > 0).alias("has_dev"),
+    ).crossJoin(split.leakage(rows).agg(F.count("*").alias("divided_clusters")))
+
+
 @query
 def balanced_sample(spark, sf):
     return sampling.balanced(_plain_split_rows(spark, sf).select("sample_id", "dimension"), "dimension", "sample_id")
@@ -405,8 +460,9 @@ def replay_quota(spark, sf):
 
 @query
 def waterfill_quota(spark, sf):
-    c = _dim_counts(spark, sf).select("key", (F.col("n") * 2).alias("capacity"), F.lit(0).alias("shared"), F.pmod(F.col("n"), F.lit(7)).alias("baseline"))
-    return sampling.waterfill_quota(c, 447, 42, "q3")
+    counts = _dim_counts(spark, sf)
+    replay = sampling.replay_quota(counts, 2087, 42).withColumnRenamed("quota", "baseline")
+    return sampling.waterfill_quota(counts.join(replay, "key").select("key", (F.col("n") * 2).alias("capacity"), F.lit(0).alias("shared"), "baseline"), 447, 42, "q3")
 
 
 @query
@@ -419,22 +475,37 @@ def _meanings(spark, sf):
     """``(sample_id, meaning)``: of a sample's first record whose gold letter has a meaning."""
     records = table(spark, sf, "train_records")
     m = labels.yes_no_meaning(records, last_content(F.col("messages"), "user"), letters_az(F.col("gold_letters")), "_source_line")
-    m = records.select("_source_line", "sample_id").join(m.where("meaning IS NOT NULL"), "_source_line")
+    m = records.select("_source_line", reference(F.col("sample_id")).alias("sample_id")).join(m.where("meaning IS NOT NULL"), "_source_line")
     return m.groupBy("sample_id").agg(F.min_by("meaning", "_source_line").alias("meaning"))
 
 
-def _calibration(spark, sf):
-    return sampling.calibration_mix(_plain_split_rows(spark, sf).join(_meanings(spark, sf), "sample_id", "left"))
+def _calibration_rows(spark, sf):
+    return _plain_split_rows(spark, sf).join(_meanings(spark, sf), "sample_id", "left")
 
 
 @query
 def calibration_mix(spark, sf):
-    return _calibration(spark, sf)
+    return calibration.calibration_mix(_calibration_rows(spark, sf)).drop("letters", "meaning")
+
+
+@query
+def calibration_quotas(spark, sf):
+    return calibration.quotas(_calibration_rows(spark, sf))[1]
 
 
 @query
 def calibration_audit(spark, sf):
-    return provenance.selection_audit(_calibration(spark, sf))
+    return calibration.bucket_audit(calibration.calibration_mix(_calibration_rows(spark, sf)))
+
+
+@query
+def calibration_distribution(spark, sf):
+    return calibration.distribution(calibration.calibration_mix(_calibration_rows(spark, sf)))
+
+
+@query
+def yes_no_coverage(spark, sf):
+    return labels.meaning_coverage(yes_no_meanings(spark, sf))
 
 
 @query

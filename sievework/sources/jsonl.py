@@ -59,9 +59,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, line_
     return out.drop("_line", *(["_bad"] if strict else [])).withColumnsRenamed({} if strict else {"_bad": "_corrupt_record"})
 
 
-def guard_outputs(paths: list[str | Path], force: bool = False) -> None:
-    """Refuses to overwrite any of the outputs unless forced."""
-    there = [str(p) for p in paths if os.path.exists(p)]
+def guard_outputs(paths: list[str | Path], force: bool = False, spark: SparkSession | None = None) -> None:
+    """Refuses to overwrite any of the outputs unless forced; with a session, paths of any of its file systems are seen."""
+
+    def exists(path: str) -> bool:
+        if spark is None:
+            return os.path.exists(path)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    there = [str(p) for p in paths if exists(str(p))]
     if there and not force:
         raise FileExistsError("outputs exist: " + ", ".join(there))
 

@@ -1,8 +1,9 @@
 """The append-only attempt log as a stream: the last success of every key, kept as log files arrive.
 
-A file stream in append mode feeds one stateful aggregate (``max_by`` per key); each trigger replaces the written
-table.  The checkpoint makes reading each file exactly-once, so a restarted job goes on where it stopped and never
-counts an attempt twice.
+A file stream in append mode feeds one stateful aggregate (``max_by`` per key) in update mode: each trigger writes the keys it changed
+to a folder of its own, named by the batch, and replaces only that folder if it runs again.  A reader takes every key's row
+of the latest batch, so it never sees a half-written table.  The checkpoint makes reading each file exactly-once, so a
+restarted job goes on where it stopped and never counts an attempt twice.
 """
 
 from __future__ import annotations
@@ -39,20 +40,30 @@ def attempt_counts(stream: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return stream.groupBy(*key).agg(F.count("*").alias("attempts"), F.count("error").alias("failures"))
 
 
-def run_to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Runs a stateful stream over everything that is there and returns the table of its last trigger."""
+def run_to_table(stream: DataFrame, folder: str | None = None, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Runs a stateful stream over everything that is there and returns the table of its latest rows per key."""
     spark = stream.sparkSession
     folder = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     out = f"{folder}/table"
     query = (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        stream.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return latest(spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(out), key)
+
+
+def _ddl(stream: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+
+def latest(changes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The rows of ``(key..., other columns, batch)`` of every key's latest batch."""
+    rest = [c for c in changes.columns if c not in (*key, "batch")]
+    return changes.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -141,3 +141,68 @@ def test_protocols_gaps_and_appends(spark, tmp_path):
     names = spark.createDataFrame([("qtype", "Q1"), ("qtype", "Q9")], "group_kind string, group_value string")
     got = {(r["seed"], r["group_value"]): (r["total"], r["accuracy"]) for r in evalgrid.filled_groups(m, names).collect()}
     assert got[1, "Q1"] == (1, 1.0) and got[1, "Q9"] == (0, None) and len(got) == 6
+
+
+def test_evaluation_resumes_and_writes_the_canonical_grid(spark, tmp_path):
+    from sievework.plans import evaluate, report
+
+    out = str(tmp_path)
+    schema = "prediction_id bigint, seed int, sample_id string, qtype string, dimension string, predicted_letters array<string>, gold_letters array<string>, mapped_letters array<string>, safe_gold boolean, gold_audit_reason string, finish_reason string, error string"
+    row = lambda i, seed, sample, pred, error=None: (i, seed, sample, "Q1", "1.1.1", pred, ["A"], ["A"], True, "", "stop", error)
+    records = spark.createDataFrame([("s1",), ("s2",)], "sample_id string")
+    generation = evaluate.PROTOCOL | {"seeds": [17, 29, 43]}
+    assert evaluate.guarded(generation, records) == [17, 29, 43]
+    with pytest.raises(report.ReportError, match="temperature.*extra_body sets n.*3 different seeds.*1 blank sample ids.*1 repeated"):
+        evaluate.guarded(generation | {"temperature": 1, "extra_body": {"n": 2}, "seeds": [1, 1, 2]}, spark.createDataFrame([(None,), ("a",), ("a",)], "sample_id string"))
+    first = [row(i, s, x, ["A"]) for i, (s, x) in enumerate((s, x) for s in (17, 29) for x in ("s1", "s2"))] + [row(9, 43, "s1", None, "timeout"), row(10, 17, "s1", ["B"])]
+    log = spark.createDataFrame(first, schema)
+    manifest = {"model": "m", "dataset_sha256": "x", "record_count": 2, "generation": generation, "prompt": "p", "seeds": [17, 29, 43]}
+    evaluate.resumed(manifest, tmp_path / "manifest.json")
+    evaluate.resumed(manifest, tmp_path / "manifest.json")
+    with pytest.raises(report.ReportError, match="dataset_sha256 differs"):
+        evaluate.resumed(manifest | {"dataset_sha256": "y"}, tmp_path / "manifest.json")
+    with pytest.raises(evaluate.Incomplete, match="2 of 6"):
+        evaluate.finished(log, records, [17, 29, 43], out)
+    assert config.load(tmp_path / "metrics.json")["run"]["missing_keys"] == ["43:s1", "43:s2"]
+    whole = log.union(spark.createDataFrame([row(11, 43, "s1", ["A"]), row(12, 43, "s2", None)], schema))
+    metrics = evaluate.finished(whole, records, [17, 29, 43], out)
+    assert metrics["run"]["completed_predictions"] == 6 and metrics["run"]["duplicate_success_keys"] == 1 and metrics["run"]["all_records_retained"]
+    kept = spark.read.json(f"{out}/predictions_canonical")
+    assert kept.count() == 6 and kept.where("seed = 17 AND sample_id = 's1'").first()["predicted_letters"] == ["B"]
+    short = evaluate.compact(metrics, manifest, kept.withColumn("seed", F.col("seed").cast("int")), spark.read.json(f"{out}/sample_stability"), {"mentalization": 1})
+    assert short["warnings"] == [] and len(short["weighted"]["per_seed"]) == 3
+    assert evaluate.warnings({"run": {"missing_or_failed": 1}}, manifest | {"record_count": 9}, kept, spark.read.json(f"{out}/sample_stability"))
+    with pytest.raises(report.ReportError, match="other keys: 5:s1"):
+        evaluate.finished(whole.union(spark.createDataFrame([row(13, 5, "s1", ["A"])], schema)), records, [17, 29, 43], out)
+
+
+def test_calibration_job(spark, tmp_path):
+    from sievework.operators.calibration import CalibrationConfig
+    from sievework.plans import calibrate
+
+    rows = [(f"s{i}", f"d{i % 5}", ("Q1", "Q2", "Q3")[i % 3], [["A"], ["A", "B"], ["A", "B", "C"]][i % 7 % 3], "uncertain" if i % 2 else "yes") for i in range(300)]
+    train = spark.createDataFrame(rows, "sample_id string, dimension string, question_type string, gold_letters array<string>, meaning string")
+    config_ = CalibrationConfig(total_rows=200, required_dimensions=5)
+    mix, audit = calibrate.calibrate(train, config_)
+    assert mix.count() == 200 and all(audit["invariants"].values()) and sum(audit["budgets"].values()) == 200
+    assert mix.select("instance_id").distinct().count() == 200 and sorted(r[0] for r in mix.select("ordinal").collect()) == list(range(200))
+    with pytest.raises(AssertionError, match="required_dimensions_covered"):
+        calibrate.calibrate(train, CalibrationConfig(total_rows=200, required_dimensions=6))
+    with pytest.raises(ValueError, match="can't cover 5 dimensions"):
+        calibrate.calibrate(train, CalibrationConfig(total_rows=4, required_dimensions=5))
+    with pytest.raises(ValueError, match="add up to 1"):
+        CalibrationConfig(replay_fraction=0.5)
+
+
+def test_repository_inspection(spark, tmp_path):
+    import json
+
+    from sievework.plans import repository
+
+    write = lambda name, value: (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value))
+    write("config.json", {"model_type": "m", "torch_dtype": "bfloat16", "architectures": ["X"]})
+    write("tokenizer_config.json", {"chat_template": "t"}), write("tokenizer.json", {}), write("model.safetensors", "12345")
+    assert repository.inspect(spark, str(tmp_path), 5, "m") == []
+    write("config.json", {"dtype": "float16", "load_in_4bit": True}), write("adapter_model.bin", "x"), write("model.safetensors", "")
+    got = repository.inspect(spark, str(tmp_path), 5, "m")
+    assert {"adapter_model.bin: forbidden", "*: too_small", "model.safetensors: empty", "config: dtype_not_bfloat16", "config: declares_quantization", "config: other_model_type", "config: no_architectures"} == set(got)
