@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from sievework.llm.tokens import VOCABULARY, counted
 from sievework.session import written
 
-BLOCKS = 64
+#: Items are ranked in hashed blocks: these many, and one more per BLOCK_ITEMS items.
+BLOCKS, BLOCK_ITEMS = 64, 250_000
 Pattern = tuple[int, dict[int, int]]
 
 
@@ -169,7 +170,8 @@ def packed(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
     for kind, size, n in items.groupBy("kind", "tokens").count().collect():  # at most one row per capacity unit
         histogram[kind][size] = n
     runs = {k: _runs(plan(histogram[k], c)) for k, c in wanted}
-    items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BLOCKS)))
+    blocks = BLOCKS + sum(sum(h.values()) for h in histogram.values()) // BLOCK_ITEMS
+    items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
     counts = items.groupBy("kind", "tokens", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("kind", "tokens").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("kind", "tokens", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -216,3 +218,17 @@ def report(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY
         F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"),
         "fullest",
     )
+
+
+def facts(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Per kind what holds for every valid packing: documents packed, containers above the capacity, and documents cut though they fit (none)."""
+    rows = written(packed(documents, limits, vocabulary), "containers")
+    caps = limits.where("capacity_tokens > 0 AND container_kind IS NOT NULL").select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
+    full = rows.groupBy("container_kind", "container").agg(F.sum("tokens").alias("t")).join(caps, "container_kind")
+    docs = rows.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces")).join(caps, "container_kind")
+    over = full.groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull_containers"))
+    each = docs.groupBy("container_kind").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("t") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("needlessly_cut"),
+        F.count_if(F.col("pieces") != F.ceil(F.col("t") / F.col("capacity"))).alias("wrongly_cut"),
+    )
+    return each.join(over, "container_kind")

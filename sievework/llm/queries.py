@@ -41,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "p6_letter_forms": _on(lambda p: visual.letter_forms(p).withColumn("forms", text_of(F.col("forms"))), "predictions"),
     "p7_containers": _on(packing.packed, "documents", "pack_limits"),
     "p7_packing_report": _on(packing.report, "documents", "pack_limits"),
+    "p7_facts": _on(packing.facts, "documents", "pack_limits"),
     "p8_mix": _on(mixing.mixed, "documents", "mix_targets"),
     "p8_share_report": _on(mixing.report, "documents", "mix_targets"),
     "p8_caps": _on(mixing.caps, "documents", "mix_targets"),
@@ -124,9 +125,12 @@ v AS (SELECT sample_id, 'question_type' AS f, question_type AS x FROM k UNION AL
 c AS (SELECT f, x, count(DISTINCT sample_id) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT count(DISTINCT sample_id) // 10 AS size FROM k),
 t AS (SELECT target_id, field_name AS f, CASE WHEN field_name = 'gold_letters' THEN {_letter_set("string_split(field_value, ',')")} ELSE {_category('field_value')} END AS x, target_permille, min_rows FROM sample_targets)"""
 
+_PAIRS_1 = _pairs(_STORY, overlap.THRESHOLD, "(u.split_name = 'train') <> (v.split_name = 'train') AND u.split_name IN ('train', 'dev', 'test') AND v.split_name IN ('train', 'dev', 'test')")
+_PAIRS_4 = _pairs(_USER, nearjoin.THRESHOLD, "true")
+
 ORACLE: dict[str, str] = {
-    "p1_found": _pairs(_STORY, overlap.THRESHOLD, "(u.split_name = 'train') <> (v.split_name = 'train') AND u.split_name IN ('train', 'dev', 'test') AND v.split_name IN ('train', 'dev', 'test')"),
-    "p4_found": _pairs(_USER, nearjoin.THRESHOLD, "true"),
+    "p1_found": _PAIRS_1,
+    "p4_found": _PAIRS_4,
     "p3_found": f"""WITH {_GROUPS} SELECT start AS split_row_id, min(node) AS group_row_id FROM reach GROUP BY start""",
     "p3_kept_together": f"""WITH {_GROUPS}, g AS (SELECT start, min(node) AS root FROM reach GROUP BY start)
 SELECT (SELECT count(*) FROM split_rows) AS rows, (SELECT count(*) FROM split_rows) - (SELECT count(*) FROM g) + (SELECT count(DISTINCT root) FROM g) AS groups, 0 AS unassigned, 0 AS divided_groups""",
@@ -137,6 +141,16 @@ FROM t LEFT JOIN c USING (f, x), z""",
 '{_BLANKS}', ' ', 'g'), '{"".join(_LETTER_FORMS)}', '{"".join(_LETTER_FORMS.values())}')))) AS f FROM predictions)
 SELECT row_id, CASE WHEN p IS NULL THEN '<unparsed>' ELSE '[' || array_to_string(f, ',') || ']' END AS forms,
 coalesce(len(list_filter(p, lambda v: regexp_matches(v, '{_UNSEEN}|{_BLANKS}|[{"".join(_LETTER_FORMS)}]'))) > 0, false) AS changed FROM l""",
+    "p7_facts": """SELECT container_kind, count(*) AS documents, 0 AS needlessly_cut, 0 AS wrongly_cut, 0 AS overfull_containers FROM documents, pack_limits WHERE length(text) > 0 GROUP BY container_kind""",
+    "p1_overlap_report": f"""WITH pairs AS ({_PAIRS_1}), e AS (SELECT _source_line AS line, split_name, source FROM train_records WHERE split_name IN ('dev', 'test')), b AS (SELECT line_a, line_b FROM pairs UNION ALL SELECT line_b, line_a FROM pairs),
+x AS (SELECT _source_line AS line, {_NORMAL.format(x=_STORY)} AS x FROM train_records), h AS (SELECT e.line, count(*) AS pairs, max(CASE WHEN v.x = w.x THEN 1 ELSE 0 END) AS equal FROM e JOIN b ON b.line_a = e.line JOIN x v ON v.line = b.line_a JOIN x w ON w.line = b.line_b GROUP BY e.line)
+SELECT split_name, source, count(*) AS eval_rows, count(pairs) AS overlapping_rows, count(*) FILTER (equal = 1) AS equal_rows, coalesce(sum(pairs), 0)::BIGINT AS pairs, round(count(pairs) / count(*), 6) AS overlapping_share
+FROM e LEFT JOIN h USING (line) GROUP BY split_name, source""",
+    "p4_groups": f"""WITH RECURSIVE pairs AS ({_PAIRS_4}), both_ways AS (SELECT line_a AS a, line_b AS b FROM pairs UNION ALL SELECT line_b, line_a FROM pairs),
+x AS (SELECT _source_line AS line, {_NORMAL.format(x=_USER)} AS x FROM train_records), reach AS (SELECT _source_line AS start, _source_line AS node FROM train_records UNION SELECT start, b FROM reach JOIN both_ways ON node = a),
+g AS (SELECT start, min(node) AS root FROM reach GROUP BY start), n AS (SELECT root, count(*) AS n FROM g GROUP BY root),
+l AS (SELECT a, count(DISTINCT w.x) AS links FROM both_ways JOIN x v ON v.line = a JOIN x w ON w.line = b WHERE v.x <> w.x GROUP BY a)
+SELECT start AS source_line, g.root AS group_line, n AS group_rows, coalesce(links, 0) AS links FROM g JOIN n ON n.root = g.root LEFT JOIN l ON a = start""",
     "p8_caps": f"""SELECT replace(lower({_strip('source')}), '-', '_') AS source, sum(target_permille)::BIGINT AS target_permille, max(max_repeats) AS max_repeats, true AS kept
 FROM mix_targets WHERE target_permille > 0 AND max_repeats > 0 GROUP BY 1""",
     "p9_found": f"""WITH {_SHARED} SELECT doc_id, span_start, span_chars FROM spans""",

@@ -226,6 +226,8 @@ def test_packing(spark):
     for (k, _), p in pieces.items():
         assert sorted(x for x, _ in p) == list(range(len(p)))
         assert len(p) == 1 or all(t == capacity[k] for _, t in sorted(p)[:-1])
+    fact = {r["container_kind"]: r for r in packing.facts(df, limits).collect()}
+    assert set(fact) == {"small", "large"} and all((r["documents"], r["needlessly_cut"], r["wrongly_cut"], r["overfull_containers"]) == (401, 0, 0, 0) for r in fact.values())
     report = {r["container_kind"]: r for r in packing.report(df, limits).collect()}
     for r in report.values():
         assert r["containers"] <= r["least_containers"] * 1.05 + 1
