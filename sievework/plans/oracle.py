@@ -288,6 +288,12 @@ _FORMS = {
 }
 
 
+_LETTERS_IN = "regexp_replace(x, '[\\s\\p{Z},，、;；/|&和及与+]+', '', 'g')"
+ORACLE["boxed_answers"] = f"""WITH {LAST}, b AS (SELECT run_id, prediction_id, upper(translate(nfc_normalize(regexp_extract_all(content, '(?i)\\\\+boxed\\s*\\{{([^{{}}]*)\\}}', 1)[-1]), '{"".join(_FORMS)}', '{"".join(_FORMS.values())}')) AS x FROM last),
+l AS (SELECT run_id, prediction_id, nullif(list_sort(list_distinct(CASE WHEN regexp_full_match({_LETTERS_IN}, '[A-F]+') THEN string_split({_LETTERS_IN}, '') ELSE list_filter(regexp_extract_all(x, '[A-Z]+'), lambda t: regexp_full_match(t, '[A-F]')) END)), []) AS boxed FROM b)
+SELECT run_id, prediction_id, {_text('boxed')} AS boxed FROM l"""
+
+
 def _clusters(source: str, id_: str, prefix: str) -> str:
     """Exact and near stories by comparing all pairs that share a piece, and their components."""
     return f"""{source}, n AS (SELECT {id_}, regexp_replace(lower(translate(nfc_normalize(story), '{"".join(_FORMS)}', '{"".join(_FORMS.values())}')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS x FROM st),
