@@ -288,6 +288,7 @@ _FORMS = {
 }
 
 
+ORACLE["incomplete_story_bundles"] = f"""SELECT public_line, 'incomplete_safe_story_bundle' AS issues FROM ({ORACLE['usable_items']}) WHERE policy = 'agreement_only' AND public_line NOT IN (SELECT public_line FROM ({ORACLE['complete_story_bundles']}))"""
 _LETTERS_IN = "regexp_replace(x, '[\\s\\p{Z},，、;；/|&和及与+]+', '', 'g')"
 ORACLE["boxed_answers"] = f"""WITH {LAST}, b AS (SELECT run_id, prediction_id, upper(translate(nfc_normalize(regexp_extract_all(content, '(?i)\\\\+boxed\\s*\\{{([^{{}}]*)\\}}', 1)[-1]), '{"".join(_FORMS)}', '{"".join(_FORMS.values())}')) AS x FROM last),
 l AS (SELECT run_id, prediction_id, nullif(list_sort(list_distinct(CASE WHEN regexp_full_match({_LETTERS_IN}, '[A-F]+') THEN string_split({_LETTERS_IN}, '') ELSE list_filter(regexp_extract_all(x, '[A-Z]+'), lambda t: regexp_full_match(t, '[A-F]')) END)), []) AS boxed FROM b)
