@@ -165,6 +165,46 @@ def test_cluster_audit(spark):
     assert clusters.cluster_audit(df, "id", F.col("story"), 1.0).first()["candidate_pairs_compared"] == 0
 
 
+def stock_stories(count):
+    """Stories with one stock opening, and an edited copy of every tenth: near pairs are few, pairs that share hashes nearly all."""
+    rng = random.Random(3)
+    opening = "".join(chr(0x4E00 + i) for i in range(60))
+    texts = [opening + "".join(chr(0x5000 + rng.randrange(900)) for _ in range(80)) for _ in range(count)]
+    return texts + [t[:100] + "改" + t[101:] for t in texts[::10]]
+
+
+def written_rows(monkeypatch):
+    rows, plain = [], clusters.written
+    monkeypatch.setattr(clusters, "written", lambda df, name: (t := plain(df, name), rows.append(t.count()))[0])
+    return rows
+
+
+def test_stories_with_a_stock_opening_are_not_listed_by_pairs(spark, monkeypatch):
+    texts, rows = stock_stories(200), written_rows(monkeypatch)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, story string")
+    got = {r["id"]: r["story_cluster_id"] for r in clusters.story_clusters(df, "id", F.col("story")).collect()}
+    assert all((got[i] == got[j]) == (j == 200 + i / 10) for i in range(200) for j in range(i + 1, 220))
+    assert sum(rows) <= 4 * len(texts)
+
+
+def test_similar_texts_have_a_part_in_common():
+    """For sizes from one shingle on and thresholds down to 0.9, every pair that reaches the threshold, and few others."""
+    rng, texts = random.Random(5), []
+    for n in [1, 2, 5, 6, 9, 14, 20, 33, 60, 61, 90, 140, 300] * 3:
+        t = "".join(rng.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯") for _ in range(n))
+        texts += [t, t + "尾", "头" + t[:-1], t[: n // 2] + "改" + t[n // 2 + 1 :], t + t[: n // 12], t[n // 14 :]]
+    texts = sorted({t for t in texts if t})
+    pieces = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    for threshold in (0.9, 0.92, 0.97):
+        keys = [set() for _ in texts]
+        for key, t in zip(*clusters.part_keys(texts, threshold, 5)):
+            keys[t].add(int(key))
+        pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+        near = {(i, j) for i, j in pairs if len(pieces[i] & pieces[j]) >= threshold * len(pieces[i] | pieces[j])}
+        meet = {(i, j) for i, j in pairs if keys[i] & keys[j]}
+        assert near and near <= meet and len(meet) < len(near) + len(pairs) // 20
+
+
 def test_split_keeps_clusters_and_covers_dimensions(spark):
     rng = random.Random(4)
     rows = [(i, f"c{i // 3}", rng.choice("xyz")) for i in range(120)] + [(900, None, "x")]
