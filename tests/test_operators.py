@@ -187,6 +187,16 @@ def test_stories_with_a_stock_opening_are_not_listed_by_pairs(spark, monkeypatch
     assert sum(rows) <= 4 * len(texts)
 
 
+def test_public_stories_with_a_stock_opening_are_not_listed_by_pairs(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    texts, rows = stock_stories(150), written_rows(monkeypatch)
+    spark.createDataFrame(list(enumerate(texts)), "public_line bigint, story string").write.parquet(f"{tmp_path}/public_records.parquet")
+    got = {r["public_line"]: r["story_cluster_id"] for r in __spark_entry__.queries()["public_story_clusters"](spark, str(tmp_path)).collect()}
+    assert len(got) == 165 and len(set(got.values())) == 150 and all(got[i] == got[150 + i // 10] for i in range(0, 150, 10))
+    assert sum(rows) <= 4 * len(texts)
+
+
 def test_similar_texts_have_a_part_in_common():
     """For sizes from one shingle on and thresholds down to 0.9, every pair that reaches the threshold, and few others."""
     rng, texts = random.Random(5), []
