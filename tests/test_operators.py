@@ -197,6 +197,18 @@ def test_public_stories_with_a_stock_opening_are_not_listed_by_pairs(spark, tmp_
     assert sum(rows) <= 4 * len(texts)
 
 
+def test_cluster_audit_counts_pairs_without_listing_them(spark, monkeypatch):
+    """Also where a hash that many stories share is compared in blocks, some pairs at a time."""
+    monkeypatch.setattr(clusters, "BLOCK", 40)
+    monkeypatch.setattr(clusters, "PAIRS", 500)
+    texts, rows = stock_stories(120), written_rows(monkeypatch)
+    sketches = [set(sorted(int(k) & 0xFFFFFFFF for k in text.piece_crcs([t]))[:12]) for t in texts]
+    r = clusters.cluster_audit(spark.createDataFrame(list(enumerate(texts)), "id bigint, story string"), "id", F.col("story")).first()
+    assert r["candidate_pairs_compared"] == sum(len(a & b) >= 2 for i, a in enumerate(sketches) for b in sketches[:i]) > 20 * len(texts)
+    assert (r["exact_stories"], r["clusters"], r["rows_in_shared_clusters"]) == (132, 120, 24)
+    assert sum(rows) <= 5 * len(texts)
+
+
 def test_similar_texts_have_a_part_in_common():
     """For sizes from one shingle on and thresholds down to 0.9, every pair that reaches the threshold, and few others."""
     rng, texts = random.Random(5), []
