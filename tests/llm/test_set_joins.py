@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import nearjoin, overlap, textsets
+from sievework.llm import nearjoin, overlap, regions, textsets
 from sievework.llm.records import story_and_question
 from sievework.llm.regions import similar_pairs
 
@@ -131,3 +131,19 @@ def test_story_text_ends_before_the_last_options_label():
     assert story_and_question("x 故事:a 选项：b 选项:c") == "a 选项：b "
     assert story_and_question("no label") == ""
     assert story_and_question("故​事：甲") == "甲"
+
+
+def test_regions_are_joined_some_at_a_time(spark, monkeypatch):
+    """No more characters at once than the bound unless one region has more, and the same pairs with a tiny bound."""
+    assert regions.together([0, 2, 3, 5], [4, 4, 30, 3, 3], 99) == [(0, 3)]
+    monkeypatch.setattr(regions, "TOGETHER", 20)
+    assert regions.together([0, 2, 3, 5, 6], [4, 4, 30, 3, 3, 9], 20) == [(0, 1), (1, 2), (2, 4)]
+    rows = [r for r in corpus() if r[0] < 900]
+    texts = [(r[0], 0, r[3][1][1]) for r in rows]
+    packed, dictionary = regions.packed_texts(spark.createDataFrame(texts, "id bigint, side int, text string"))
+    members = regions.routed(packed, dictionary, nearjoin.BANDS, nearjoin.ROWS, cross=False)
+    some = spark.createDataFrame(members.collect(), "region bigint, k bigint")
+    tiny = {tuple(r) for r in regions.joined(some, packed, dictionary, 0.6, cross=False).collect()}
+    monkeypatch.setattr(regions, "TOGETHER", 10**9)
+    whole = {tuple(r) for r in regions.joined(some, packed, dictionary, 0.6, cross=False).collect()}
+    assert tiny == whole and whole
